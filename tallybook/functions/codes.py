@@ -21,18 +21,24 @@ def clean(code: Column) -> Column:
     return F.trim(F.coalesce(code, F.lit("")))
 
 
+# Rewrites in rule order.  A hit is marked with a leading control character, so
+# no later rule can match it: the first rule wins, in one pass over the code.
+_DONE = "\u0001"
+_REWRITES = (
+    (_WHOLESALE, _DONE + "$1"),
+    (_CARTON, _DONE + "AU-$1-35"),
+    (rf"^({_MIXED}.*)$", _DONE + "$1"),
+    (r"^AU-SRT-(?=.+x12$)(.*?)-*x12$", _DONE + "AU-$1"),
+    (_SUBSCRIPTION, _DONE + "$1"),
+)
+
+
 def base_code(code: Column) -> Column:
     """Single-tin code a pack code rolls up to; null for a blank code."""
     s = clean(code)
-    return (
-        F.when(s == "", F.lit(None))
-        .when(s.rlike(_WHOLESALE), F.regexp_extract(s, _WHOLESALE, 1))
-        .when(s.rlike(_CARTON), F.concat(F.lit("AU-"), F.regexp_extract(s, _CARTON, 1), F.lit("-35")))
-        .when(s.startswith(_MIXED), s)
-        .when(s.rlike(_TRAY), F.concat(F.lit("AU-"), F.regexp_replace(F.regexp_extract(s, _TRAY, 1), "-+$", "")))
-        .when(s.rlike(_SUBSCRIPTION), F.regexp_extract(s, _SUBSCRIPTION, 1))
-        .otherwise(s)
-    )
+    for pattern, replacement in _REWRITES:
+        s = F.regexp_replace(s, pattern, replacement)
+    return F.nullif(F.ltrim(s, F.lit(_DONE)), F.lit(""))
 
 
 def pack_size(code: Column) -> Column:
