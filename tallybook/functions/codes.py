@@ -58,7 +58,7 @@ def is_regional(code: Column) -> Column:
 
 
 def is_discontinued(code: Column) -> Column:
-    return code.rlike(r"^AU-(CTN-|B-)?SC-") | code.rlike(r"^D-AU-SC-")
+    return code.rlike(r"^(AU-(CTN-|B-)?|D-AU-)SC-")
 
 
 def is_soap(code: Column) -> Column:

@@ -88,7 +88,7 @@ def inventory(stock: DataFrame, meta: DataFrame) -> DataFrame:
     trays = stock.filter(code.startswith("AU-SRT-")).groupBy(codes.base_code(code).alias("base")).agg(
         F.sum((F.col("soh") - F.col("fba_soh")) * codes.pack_size(code)).alias("tray_soh"),
         F.sum((F.col("avail") - F.col("fba_avail")) * codes.pack_size(code)).alias("tray_avail"))
-    listed = code.rlike(r"^AU-(?!BAG|SRT-|CTN-SRT-)") & ~code.contains("CANVAS")
+    listed = code.rlike(r"^AU-(?!BAG|SRT-|CTN-SRT-)(?!.*CANVAS)")
     soap = codes.is_soap(code)
     sellable = soap | F.col("category").isin("", "Finished Products", "Bicarb Based")
     kind = (

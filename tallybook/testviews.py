@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallybook.session import prepare
 
@@ -235,12 +236,22 @@ class Inputs:
     def path(self, table: str) -> str:
         return f"{self.sf_dir}/{table}.parquet"
 
+    def stream_path(self, table: str) -> str:
+        """A glob: the file source takes one for a single file, a folder otherwise."""
+        return f"{self.sf_dir}/{table}.parque[t]"
+
     def __call__(self, name: str) -> DataFrame:
         if name not in self._frames:
             if name in BASE_TABLES:
                 self._frames[name] = self.spark.read.parquet(self.path(name))
             else:
-                self._frames[name] = self.select(view_sql(name))
+                frame = self.select(view_sql(name))
+                if name == "f_code":
+                    # Stored catalogues hold codes as plain columns.  Here they come
+                    # from a long CASE, which the optimizer would copy into every
+                    # filter on a code; a generator makes them plain columns again.
+                    frame = frame.select(F.inline(F.array(F.struct(*frame.columns))))
+                self._frames[name] = frame
         return self._frames[name]
 
     def select(self, text: str) -> DataFrame:
