@@ -1,6 +1,6 @@
 """Every runnable query, and the SQL it is checked against."""
 
 from tallybook.catalog.base import ORACLE, QUERIES
-from tallybook.catalog import derivations, erp, maintenance, operations, store, supply  # noqa: F401
+from tallybook.catalog import derivations, erp, landing, maintenance, operations, store, supply  # noqa: F401
 
 __all__ = ["ORACLE", "QUERIES"]
