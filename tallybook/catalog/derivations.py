@@ -9,7 +9,7 @@ from tallybook.catalog.base import (
 )
 from tallybook.functions import calendar, channels, codes, text
 from tallybook.operators.erp_lines import derive_lines, with_channel
-from tallybook.plans.shipping import order_flags, wholesale_orders
+from tallybook.plans.shipping import order_flags, wholesale_lines
 
 
 @query("sku_base_rollup", f"SELECT part_id, code, {sql_base('code')} AS base_sku, CAST({sql_pack('code')} AS BIGINT) AS multiplier FROM f_code")
@@ -222,12 +222,10 @@ def shipping_flags(v):
 
 
 @query("wholesale_skus", """
-SELECT o.order_number, o.company, string_agg(DISTINCT i.sku, ',' ORDER BY i.sku) AS skus
-FROM f_ship_orders o JOIN f_store_items i ON i.order_id = o.order_number
-WHERE i.sku LIKE 'WC-%' OR i.sku LIKE '%-SRT-%' OR i.sku LIKE '%-CTN-%' GROUP BY 1, 2""")
+SELECT DISTINCT o.order_number, o.company, i.sku FROM f_ship_orders o JOIN f_store_items i ON i.order_id = o.order_number
+WHERE i.sku LIKE 'WC-%' OR i.sku LIKE '%-SRT-%' OR i.sku LIKE '%-CTN-%'""")
 def wholesale_skus(v):
-    return wholesale_orders(v("f_ship_orders"), v("f_store_items")).select(
-        "order_number", "company", F.array_join("wholesale_skus", ",").alias("skus"))
+    return wholesale_lines(v("f_ship_orders"), v("f_store_items")).select("order_number", "company", "sku")
 
 
 @query("distributor_class", """

@@ -21,11 +21,10 @@ def orders_per_hour(orders: DataFrame, day: dt.date | None = None) -> DataFrame:
     if day is not None:
         orders = orders.filter(F.col("local_date") == F.lit(day))
     hour = F.substring("date_created", 12, 2).try_cast("int")
-    counted = (
-        orders.groupBy("market", "local_date", hour.alias("hour")).agg(F.count("*").alias("n"))
-    )
-    days = counted.groupBy("market", "local_date").agg(
-        F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("by_hour"))
+    counted = orders.groupBy("market", "local_date", hour.alias("hour")).agg(F.count("*").alias("n"))
+    # At most 24 entries a day: rows are counted before they are listed.
+    entry = F.when(F.col("hour").between(0, 23), F.struct("hour", "n"))
+    days = counted.groupBy("market", "local_date").agg(F.map_from_entries(F.collect_list(entry)).alias("by_hour"))
     buckets = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")
     return days.select("market", "local_date", "by_hour", buckets).select(
         "market", "local_date", "hour",

@@ -42,22 +42,24 @@ def buyer(orders: DataFrame) -> Column:
     return F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in present])
 
 
-def wholesale_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Orders with a wholesale line and the distinct wholesale SKUs of each.
+def wholesale_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Distinct wholesale SKUs of each order, one row per order and SKU.
 
-    The SKU set is bounded by the catalogue, not by the lines: it is combined
-    map-side before the shuffle, so one huge order costs no more than another.
+    Rows, not an array per order: a huge order stays spread over tasks.
     """
-    hits = (
-        lines.filter(is_wholesale_sku(F.col("sku"))).groupBy("order_id")
-        .agg(F.sort_array(F.collect_set("sku")).alias("wholesale_skus"))
-    )
+    hits = lines.filter(is_wholesale_sku(F.col("sku"))).select("order_id", "sku").distinct()
     return (
-        orders.withColumn("company", buyer(orders))
-        .join(hits, F.col("order_number") == F.col("order_id")).drop("order_id")
+        hits.join(orders.withColumn("company", buyer(orders)), F.col("order_id") == F.col("order_number"))
+        .drop("order_id")
     )
 
 
+def wholesale_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Orders with at least one wholesale line."""
+    hits = lines.filter(is_wholesale_sku(F.col("sku"))).select("order_id").distinct()
+    return orders.withColumn("company", buyer(orders)).join(hits, F.col("order_number") == F.col("order_id"), "left_semi")
+
+
 def on_hold_by_store(orders: DataFrame) -> DataFrame:
     store = F.coalesce(F.col("store_id").cast("string"), F.lit("unknown"))
     return (
