@@ -50,10 +50,13 @@ def chan_lines(v):
     return erp.channel_lines(v("f_erp_orders"), v("f_erp_lines"), CUTOVER)
 
 
-def five_channel_report(v):
-    return erp.five_channel(
-        v("f_erp_orders"), v("f_erp_lines"), v("f_credit_lines"), v("f_store_orders"), v("f_store_items"),
-        marketplace_orders(v), au_items(v), CUTOVER)
+def chan_counts(v):
+    return erp.order_counts(erp.channel_heads(v("f_erp_orders"), CUTOVER), erp.top_level(v("f_erp_lines")))
+
+
+def facts(v):
+    return erp.five_channel_facts(
+        v("f_erp_orders"), v("f_erp_lines"), v("f_store_orders"), v("f_store_items"), marketplace_orders(v), au_items(v), CUTOVER)
 
 
 @query("live_erp_documents", f"""
@@ -84,14 +87,14 @@ def erp_join_lines(v):
 @query("erp_channel_month", """
 SELECT ym, channel, CAST(tins AS DOUBLE) AS tins, CAST(revenue AS DOUBLE) AS revenue, CAST(orders AS BIGINT) AS orders FROM s_chan_month""")
 def erp_channel_month(v):
-    return erp.channel_month(chan_lines(v))
+    return erp.channel_month(erp.line_facts(chan_lines(v)), chan_counts(v))
 
 
 @query("erp_sku_channel_pivot", """
 SELECT ym, sku, name, CAST(col AS DOUBLE) AS col, CAST(woo2 AS DOUBLE) AS woo2, CAST(dist AS DOUBLE) AS dist, CAST(amz AS DOUBLE) AS amz,
  CAST(amz_revenue AS DOUBLE) AS amz_revenue, CAST(erp_revenue AS DOUBLE) AS erp_revenue FROM s_sku_pivot""")
 def erp_sku_channel_pivot(v):
-    return erp.sku_pivot(chan_lines(v))
+    return erp.sku_pivot(erp.line_facts(chan_lines(v)))
 
 
 @query("refunds_month", """
@@ -109,7 +112,9 @@ def refund_sku_lines(v):
 SELECT ym, 'all' AS sku, CAST(NULL AS VARCHAR) AS name, CAST(units AS BIGINT) AS units, CAST(tins AS BIGINT) AS tins, CAST(revenue AS DOUBLE) AS revenue, CAST(orders AS BIGINT) AS orders FROM s_woo_total
 UNION ALL SELECT ym, sku, name, CAST(units AS BIGINT), CAST(tins AS BIGINT), CAST(revenue AS DOUBLE), NULL FROM s_woo_skus""")
 def store_au_channel(v):
-    total, by_sku = erp.store_channel(erp.store_channel_lines(v("f_store_orders"), v("f_store_items")))
+    orders, items = v("f_store_orders"), v("f_store_items")
+    counts = erp.order_counts(erp.store_heads(orders), items)
+    total, by_sku = erp.store_channel(erp.store_facts(erp.store_lines(orders, items)), counts)
     head = total.select("ym", F.lit("all").alias("sku"), F.lit(None).cast("string").alias("name"), "units", "tins", "revenue", "orders")
     return head.unionByName(by_sku.withColumn("orders", F.lit(None).cast("bigint")))
 
@@ -118,7 +123,7 @@ def store_au_channel(v):
 SELECT ym, 'all' AS sku, CAST(units AS BIGINT) AS units, CAST(revenue AS DOUBLE) AS revenue, CAST(orders AS BIGINT) AS orders FROM s_amz_total
 UNION ALL SELECT ym, sku, CAST(units AS BIGINT), CAST(revenue AS DOUBLE), NULL FROM s_amz_skus""")
 def marketplace_au_channel(v):
-    total, by_sku = erp.marketplace_channel(marketplace_orders(v), au_items(v))
+    total, by_sku = erp.marketplace_channel(erp.marketplace_facts(au_items(v)), erp.marketplace_heads(marketplace_orders(v)))
     head = total.select("ym", F.lit("all").alias("sku"), "units", "revenue", "orders")
     return head.unionByName(by_sku.select("ym", "sku", "units", "revenue", F.lit(None).cast("bigint").alias("orders")))
 
@@ -130,7 +135,7 @@ _MERGED = """SELECT ym, sku, name, CAST(col AS DOUBLE) AS col, CAST(woo2 AS DOUB
 
 @query("sku_channel_full_merge", _MERGED)
 def sku_channel_full_merge(v):
-    return five_channel_report(v)["skus"]
+    return erp.sku_rows(facts(v))
 
 
 _N = "CAST(NULL AS DOUBLE)"
@@ -145,7 +150,7 @@ UNION ALL SELECT 'refund', ym, 'all', NULL, {_N}, {_N}, {_N}, {_N}, {_N}, CAST(t
 UNION ALL SELECT 'refund_sku', ym, sku, NULL, {_N}, {_N}, {_N}, {_N}, {_N}, CAST(tins AS DOUBLE), CAST(sales AS DOUBLE), NULL FROM s_refund_skus
 UNION ALL SELECT 'sku', ym, sku, name, col, woo2, dist, woo, amz, total_tins, revenue, NULL FROM ({_MERGED})""")
 def five_channel_month(v):
-    return erp.report_rows(five_channel_report(v))
+    return erp.five_channel(facts(v), v("f_credit_lines"))
 
 
 def erp_documents(v):

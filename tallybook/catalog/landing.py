@@ -15,7 +15,7 @@ from tallybook.catalog.operations import SHIPMENTS
 from tallybook.catalog.supply import THREEPL
 from tallybook.functions import calendar
 from tallybook.plans import erp as erp_reports
-from tallybook.catalog.erp import chan_lines, erp_documents
+from tallybook.catalog.erp import chan_counts, chan_lines, erp_documents
 from tallybook.sources import accounting, erp, marketplace, shipping, stock, store
 from tallybook.sources.parse import from_text
 from tallybook.testviews import VIEWS
@@ -461,15 +461,15 @@ def buying_history_long(v):
 SELECT 'channel' AS section, ym, channel AS key, CAST(tins AS DOUBLE) AS tins, CAST(revenue AS DOUBLE) AS revenue, CAST(orders AS BIGINT) AS orders FROM s_chan_month
 UNION ALL SELECT 'sku', ym, sku, CAST(col + woo2 + dist + amz AS DOUBLE), CAST(erp_revenue AS DOUBLE), NULL FROM s_sku_pivot""")
 def static_month_snapshot(v):
-    lines = chan_lines(v)
-    totals = erp_reports.channel_month(lines)
+    sums = erp_reports.line_facts(chan_lines(v))
+    totals = erp_reports.channel_month(sums, chan_counts(v))
     record = F.struct(F.col("tins").cast("double").alias("tins"), F.col("revenue").cast("double").alias("revenue"), "orders")
     # A month has at most five channels; SKU rows go one to a document.
     months = totals.groupBy("ym").agg(F.map_from_entries(F.collect_list(F.struct("channel", record))).alias("channels")).select(
         F.to_json(F.struct(F.create_map("ym", "channels").alias("salesByMonth"))).alias("body"))
     total = (F.col("col") + F.col("woo2") + F.col("dist") + F.col("amz")).cast("double").alias("total_tins")
     row = F.array(F.struct("sku", "name", total, F.col("erp_revenue").cast("double").alias("revenue")))
-    skus = erp_reports.sku_pivot(lines).select(F.to_json(F.struct(F.create_map("ym", row).alias("skuSalesByMonth"))).alias("body"))
+    skus = erp_reports.sku_pivot(sums).select(F.to_json(F.struct(F.create_map("ym", row).alias("skuSalesByMonth"))).alias("body"))
     wrapped = F.concat(F.lit("// generated\nwindow.MONTH_DATA = "), "body", F.lit(";\n")).alias("value")
     return stock.month_snapshot(months.unionByName(skus).select(wrapped))
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tallybook.catalog.base import AS_OF, SQL_VIEWS, query, sql_base, sql_pack, sql_regional
 from tallybook.catalog.derivations import SQL_3PL_CLASS, SQL_3PL_SKU, SQL_PO_CLASS
-from tallybook.catalog.erp import five_channel_report
+from tallybook.catalog.erp import facts
 from tallybook.functions import codes
 from tallybook.operators import erp_lines
-from tallybook.plans import inventory, packaging, purchasing, risk
+from tallybook.plans import erp, inventory, packaging, purchasing, risk
 
 SINCE = packaging.window_start(AS_OF, 6)
 
@@ -216,7 +216,7 @@ def schedule_match_pos(v):
 
 
 def _rates(v):
-    return risk.run_rate(five_channel_report(v)["skus"], AS_OF)
+    return risk.run_rate(erp.sku_rows(facts(v)), AS_OF)
 
 
 @query("run_rate", "SELECT sku, tins, cur AS current_tins, rate, provisional AS rate_provisional FROM s_rates")

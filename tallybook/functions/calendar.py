@@ -34,7 +34,7 @@ def warehouse_date(text: Column) -> Column:
 
 
 def month_of(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM")
+    return F.substring(day.cast("string"), 1, 7)
 
 
 def week_key(day: Column, floor: dt.date | None = None) -> Column:

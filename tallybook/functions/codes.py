@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from tallybook.functions.fixed import MARKETPLACE_ALIASES
 
 _WHOLESALE = r"^WC-(AU-.+?)(?:-(?:NL|WC))?$"
-_CARTON = r"^AU-CTN-(.+)-48$"
-_MIXED = "AU-CTN-SRT-MIX-"
-_TRAY = r"^AU-SRT-(.+)x12$"
-_SUBSCRIPTION = r"^(AU-.+)M$"
 
 
 def clean(code: Column) -> Column:
@@ -21,40 +17,47 @@ def clean(code: Column) -> Column:
     return F.trim(F.coalesce(code, F.lit("")))
 
 
-# Rewrites in rule order.  A hit is marked with a leading control character, so
-# no later rule can match it: the first rule wins, in one pass over the code.
-_DONE = "\u0001"
-_REWRITES = (
-    (_WHOLESALE, _DONE + "$1"),
-    (_CARTON, _DONE + "AU-$1-35"),
-    (rf"^({_MIXED}.*)$", _DONE + "$1"),
-    (r"^AU-SRT-(?=.+x12$)(.*?)-*x12$", _DONE + "AU-$1"),
-    (_SUBSCRIPTION, _DONE + "$1"),
-)
+def _framed(s: Column, head: str, tail: str) -> Column:
+    """True for head + at least one character + tail."""
+    return s.startswith(head) & s.endswith(tail) & (F.length(s) > len(head) + len(tail))
 
 
+def _middle(s: Column, head: str, tail: str) -> Column:
+    return F.substring(s, F.lit(len(head) + 1), F.length(s) - len(head) - len(tail))
+
+
+# Codes are tested by plain prefix and suffix: these run on every line of every
+# order, and a regular expression per rule would cost more than the aggregation.
+
 def base_code(code: Column) -> Column:
     """Single-tin code a pack code rolls up to; null for a blank code."""
     s = clean(code)
-    for pattern, replacement in _REWRITES:
-        s = F.regexp_replace(s, pattern, replacement)
-    return F.nullif(F.ltrim(s, F.lit(_DONE)), F.lit(""))
+    return (
+        F.when(s == "", F.lit(None))
+        .when(_framed(s, "WC-AU-", ""), F.regexp_extract(s, _WHOLESALE, 1))
+        .when(_framed(s, "AU-CTN-", "-48"), F.concat(F.lit("AU-"), _middle(s, "AU-CTN-", "-48"), F.lit("-35")))
+        .when(s.startswith("AU-CTN-SRT-MIX-"), s)
+        .when(_framed(s, "AU-SRT-", "x12"), F.concat(F.lit("AU-"), F.rtrim(_middle(s, "AU-SRT-", "x12"), F.lit("-"))))
+        .when(_framed(s, "AU-", "M"), _middle(s, "", "M"))
+        .otherwise(s)
+    )
 
 
 def pack_size(code: Column) -> Column:
     """Tins in one unit of a pack code."""
     s = clean(code)
     return (
-        F.when(s.rlike(_WHOLESALE), F.lit(54))
-        .when(s.rlike(_CARTON), F.lit(48))
-        .when(s.startswith(_MIXED), F.lit(72))
-        .when(s.rlike(_TRAY), F.lit(12))
+        F.when(_framed(s, "WC-AU-", ""), F.lit(54))
+        .when(_framed(s, "AU-CTN-", "-48"), F.lit(48))
+        .when(s.startswith("AU-CTN-SRT-MIX-"), F.lit(72))
+        .when(_framed(s, "AU-SRT-", "x12"), F.lit(12))
         .otherwise(F.lit(1))
     )
 
 
 def is_regional(code: Column) -> Column:
-    return clean(code).rlike(r"(?i)^(WC-|D-)?AU-")
+    head = F.upper(F.substring(clean(code), 1, 6))
+    return head.startswith("AU-") | head.startswith("D-AU-") | (head == "WC-AU-")
 
 
 def is_discontinued(code: Column) -> Column:

@@ -31,28 +31,51 @@ def live_credit_lines(credits: DataFrame) -> DataFrame:
     return derive_lines(live, "credit").filter(F.col("parent_id") == 0).withColumn("ym", F.substring("created_date", 1, 7))
 
 
-def channel_lines(orders: DataFrame, lines: DataFrame, cutover: str) -> DataFrame:
-    """Top-level lines of live channel orders; 'amz' counts from the cut-over month."""
+def channel_heads(orders: DataFrame, cutover: str) -> DataFrame:
+    """Live channel orders as (order_id, channel, ym); 'amz' counts from the cut-over month."""
     attr, ym = F.col("channel_attr"), F.col("ym")
     heads = live_orders(orders).filter(attr.isin("col", "woo2", "dist") | ((attr == "amz") & (ym >= cutover)))
+    return heads.select(F.col("id").alias("order_id"), attr.alias("channel"), "ym")
+
+
+def channel_lines(orders: DataFrame, lines: DataFrame, cutover: str) -> DataFrame:
+    """Top-level lines of channel orders: ym, channel, sku (base code), name, tins, total."""
     tops = derive_lines(lines, "sales").filter(F.col("parent_id") == 0)
-    return tops.join(heads.select(F.col("id").alias("order_id"), "channel_attr", "ym"), "order_id")
+    return tops.join(channel_heads(orders, cutover), "order_id").withColumnRenamed("base_sku", "sku")
+
+
+def line_facts(lines: DataFrame) -> DataFrame:
+    """Tins and revenue per month, channel, SKU and name: all later reports fold this."""
+    return lines.groupBy("ym", "channel", "sku", "name").agg(
+        _sum("tins", TINS).alias("tins"), _sum("total").alias("revenue"))
+
+
+def order_counts(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    """Orders per month and channel that have a line.
+
+    A semi join over the line's key alone: counting distinct ids on the wide
+    join would shuffle every order of the report a second time.
+    """
+    return heads.join(lines.select("order_id"), "order_id", "left_semi").groupBy("ym", "channel").agg(F.count("*").alias("orders"))
 
 
-def channel_month(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("ym", F.col("channel_attr").alias("channel")).agg(
-        _sum("tins", TINS).alias("tins"), _sum("total").alias("revenue"),
-        F.count_distinct("order_id").alias("orders"))
+def top_level(lines: DataFrame) -> DataFrame:
+    return lines.filter(F.coalesce("parent_id", F.lit(0)) == 0)
 
 
-def sku_pivot(lines: DataFrame) -> DataFrame:
+def channel_month(facts: DataFrame, counts: DataFrame) -> DataFrame:
+    sums = facts.groupBy("ym", "channel").agg(F.sum("tins").cast(TINS).alias("tins"), F.sum("revenue").cast(MONEY).alias("revenue"))
+    return sums.join(counts, ["ym", "channel"])
+
+
+def sku_pivot(facts: DataFrame) -> DataFrame:
     """Tins per base SKU and channel, with ERP and marketplace revenue apart."""
-    attr = F.col("channel_attr")
+    attr = F.col("channel")
     tins = [_sum(F.when(attr == c, F.col("tins")), TINS).alias(c) for c in ("col", "woo2", "dist", "amz")]
-    return lines.filter(F.col("base_sku").isNotNull()).groupBy("ym", F.col("base_sku").alias("sku")).agg(
+    return facts.filter(F.col("sku").isNotNull()).groupBy("ym", "sku").agg(
         F.max("name").alias("name"), *tins,
-        _sum(F.when(attr == "amz", F.col("total"))).alias("amz_revenue"),
-        _sum(F.when(attr != "amz", F.col("total"))).alias("erp_revenue"))
+        _sum(F.when(attr == "amz", F.col("revenue"))).alias("amz_revenue"),
+        _sum(F.when(attr != "amz", F.col("revenue"))).alias("erp_revenue"))
 
 
 def refunds_month(credits: DataFrame) -> DataFrame:
@@ -70,118 +93,157 @@ def refund_sku_lines(credits: DataFrame) -> DataFrame:
         _sum("tins", TINS).alias("tins"), _sum("revenue_signed").alias("sales"), name.alias("name"))
 
 
-def store_channel_lines(orders: DataFrame, lines: DataFrame, market: str = "AU") -> DataFrame:
-    """Regional store lines with base SKU and tins; other codes move no tins."""
+def store_heads(orders: DataFrame, market: str = "AU") -> DataFrame:
     keep = orders.filter((F.col("market") == market) & F.col("status").isin(*COUNTABLE_STATUSES))
+    return keep.select(
+        F.col("id").alias("order_id"), F.lit("woo").alias("channel"), calendar.month_of(F.col("local_date")).alias("ym"))
+
+
+def store_lines(orders: DataFrame, lines: DataFrame, market: str = "AU") -> DataFrame:
+    """Regional store lines; a code of another region has no base SKU and moves no tins."""
     sku = F.col("sku")
-    tins = F.when(codes.is_regional(sku), F.col("quantity") * codes.pack_size(sku)).otherwise(0)
-    return lines.join(keep.select(F.col("id").alias("order_id")), "order_id").select(
-        "order_id", calendar.month_of(F.col("local_date")).alias("ym"), "name", "quantity", "total",
-        tins.cast("bigint").alias("tins"),
-        F.when(codes.is_regional(sku), codes.base_code(sku)).alias("base_sku"))
+    regional = codes.is_regional(sku)
+    rows = lines.select(
+        "order_id", "name", "quantity", "total", F.when(regional, codes.base_code(sku)).alias("sku"),
+        F.when(regional, F.col("quantity") * codes.pack_size(sku)).otherwise(0).cast("bigint").alias("tins"))
+    return rows.join(store_heads(orders, market), "order_id")
+
 
+def store_facts(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("ym", "channel", "sku", "name").agg(
+        F.sum("quantity").alias("units"), F.sum("tins").alias("tins"), _sum("total").alias("revenue"))
 
-def store_channel(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def store_channel(facts: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(channel totals, per-SKU rows) of the store channel."""
-    total = rows.groupBy("ym").agg(
-        F.sum("quantity").alias("units"), F.sum("tins").alias("tins"), _sum("total").alias("revenue"),
-        F.count_distinct("order_id").alias("orders"))
-    by_sku = rows.filter(F.col("base_sku").isNotNull()).groupBy("ym", F.col("base_sku").alias("sku")).agg(
-        F.max("name").alias("name"), F.sum("quantity").alias("units"), F.sum("tins").alias("tins"),
-        _sum("total").alias("revenue"))
+    sums = [F.sum("units").alias("units"), F.sum("tins").alias("tins"), F.sum("revenue").cast(MONEY).alias("revenue")]
+    total = facts.groupBy("ym", "channel").agg(*sums).join(counts, ["ym", "channel"]).drop("channel")
+    by_sku = facts.filter(F.col("sku").isNotNull()).groupBy("ym", "sku").agg(F.max("name").alias("name"), *sums)
     return total, by_sku
 
 
-def marketplace_channel(orders: DataFrame, items: DataFrame, market: str = "AU") -> tuple[DataFrame, DataFrame]:
+def marketplace_facts(items: DataFrame, market: str = "AU") -> DataFrame:
+    """Units and line revenue per month, SKU and name; one tin per unit."""
+    rows = items.filter(F.col("market") == market)
+    name = F.col("name") if "name" in rows.columns else F.lit(None).cast("string")
+    return rows.groupBy(
+        calendar.month_of(F.col("local_date")).alias("ym"), F.col("dashboard_sku").alias("sku"), name.alias("name")).agg(
+        F.sum("quantity").alias("units"), _sum("total").alias("revenue"))
+
+
+def marketplace_heads(orders: DataFrame, market: str = "AU") -> DataFrame:
+    """Orders and order revenue per month: the channel figure includes shipping."""
+    return orders.filter(F.col("market") == market).groupBy(calendar.month_of(F.col("local_date")).alias("ym")).agg(
+        F.count_distinct("id").alias("orders"), _sum("total").alias("revenue"))
+
+
+def marketplace_channel(facts: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(channel totals, per-SKU rows): orders give revenue, lines give units.
 
-    One tin per unit; units count unmapped lines, the SKU rows do not.
+    Units count unmapped lines, the SKU rows do not.
     """
-    ym = calendar.month_of(F.col("local_date")).alias("ym")
-    heads = orders.filter(F.col("market") == market).groupBy(ym).agg(
-        F.count_distinct("id").alias("orders"), _sum("total").alias("revenue"))
-    rows = items.filter(F.col("market") == market)
-    units = rows.groupBy(ym).agg(F.sum("quantity").alias("units"))
     zero = F.lit(0).cast("bigint")
+    units = facts.groupBy("ym").agg(F.sum("units").alias("units"))
     total = heads.join(units, "ym", "full").select(
         "ym", F.coalesce("units", zero).alias("units"), F.coalesce("units", zero).alias("tins"),
         F.coalesce("revenue", F.lit(0).cast(MONEY)).alias("revenue"), F.coalesce("orders", zero).alias("orders"))
-    name = F.max("name") if "name" in rows.columns else F.max(F.lit(None).cast("string"))
-    by_sku = rows.filter(F.col("dashboard_sku").isNotNull()).groupBy(ym, F.col("dashboard_sku").alias("sku")).agg(
-        name.alias("name"), F.sum("quantity").alias("units"), _sum("total").alias("revenue"))
+    by_sku = facts.filter(F.col("sku").isNotNull()).groupBy("ym", "sku").agg(
+        F.max("name").alias("name"), F.sum("units").alias("units"), F.sum("revenue").cast(MONEY).alias("revenue"))
     return total, by_sku
 
 
-def merge_skus(erp: DataFrame, store: DataFrame, marketplace: DataFrame, cutover: str) -> DataFrame:
-    """One row per month and SKU over all five channels, all-zero rows dropped.
+def five_channel_facts(
+    erp_orders: DataFrame, erp_lines: DataFrame, store_orders: DataFrame, store_items: DataFrame,
+    market_orders: DataFrame, market_items: DataFrame, cutover: str,
+) -> DataFrame:
+    """Everything the five-channel report adds up, already summed per source.
 
-    The three inputs are already one row per SKU, so they are stacked and summed
-    once instead of being full-joined twice.  The name comes from the ERP, then
-    the store, then the marketplace.
+    ``revenue`` counts for the SKU, ``channel_revenue`` for the channel: they
+    differ for marketplace lines, whose channel revenue comes from the orders.
+    ``rank`` says whose product name wins.
     """
-    zero = F.lit(0).cast(TINS)
-    none = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(MONEY)
+    none = F.lit(None).cast("string")
 
-    def shape(df: DataFrame, rank: int, tins: dict, revenue) -> DataFrame:
-        named = F.when(F.coalesce("name", F.lit("")) != "", F.struct(F.lit(rank).alias("rank"), F.col("name").alias("name")))
+    def shape(df: DataFrame, rank: int, channel, sku, name, tins, revenue, channel_revenue, orders) -> DataFrame:
         return df.select(
-            "ym", "sku", named.alias("named"),
-            *[tins.get(c, zero).cast(TINS).alias(c) for c in SALES_CHANNELS], revenue.cast(MONEY).alias("revenue"))
-
-    erp_rows = shape(
-        erp, 0, {c: F.col(c) for c in ("col", "woo2", "dist", "amz")}, F.col("erp_revenue") + F.col("amz_revenue"))
-    store_rows = shape(store, 1, {"woo": F.col("tins")}, F.coalesce("revenue", none))
-    before = marketplace.filter(F.col("ym") < cutover)
-    market_rows = shape(before, 2, {"amz": F.col("units")}, F.coalesce("revenue", none))
-    merged = erp_rows.unionByName(store_rows).unionByName(market_rows).groupBy("ym", "sku").agg(
-        F.min("named")["name"].alias("name"),
-        *[F.sum(c).cast(TINS).alias(c) for c in SALES_CHANNELS], F.sum("revenue").cast(MONEY).alias("revenue"))
-    total = sum((F.col(c) for c in SALES_CHANNELS[1:]), F.col(SALES_CHANNELS[0])).cast(TINS)
-    return merged.withColumn("total_tins", total).filter((F.col("total_tins") != 0) | (F.col("revenue") != 0))
-
-
-def five_channel(
-    erp_orders: DataFrame, erp_lines: DataFrame, credits: DataFrame, store_orders: DataFrame, store_items: DataFrame,
-    market_orders: DataFrame, market_items: DataFrame, cutover: str,
-) -> dict[str, DataFrame]:
-    """The monthly sales report: 'channels', 'refunds', 'refund_skus' and 'skus'."""
-    lines = channel_lines(erp_orders, erp_lines, cutover)
-    store_total, store_skus = store_channel(store_channel_lines(store_orders, store_items))
-    market_total, market_skus = marketplace_channel(market_orders, market_items)
-
-    def channel(df: DataFrame, name: str) -> DataFrame:
-        return df.select("ym", F.lit(name).alias("channel"), F.col("tins").cast(TINS).alias("tins"), "revenue", "orders")
-
-    channels = (
-        channel_month(lines)
-        .unionByName(channel(store_total, "woo"))
-        .unionByName(channel(market_total.filter(F.col("ym") < cutover), "amz"))
-    )
-    return {
-        "channels": channels,
-        "refunds": refunds_month(credits),
-        "refund_skus": refund_sku_lines(credits),
-        "skus": merge_skus(sku_pivot(lines), store_skus, market_skus, cutover),
-    }
-
-
-def report_rows(report: dict[str, DataFrame]) -> DataFrame:
-    """The report as one frame of rows tagged by section, largest SKU rows first."""
+            "ym", channel.alias("channel"), sku.alias("sku"), F.lit(rank).alias("rank"), F.nullif(name, F.lit("")).alias("name"),
+            tins.cast(TINS).alias("tins"), revenue.cast(MONEY).alias("revenue"),
+            channel_revenue.cast(MONEY).alias("channel_revenue"), orders.cast("bigint").alias("orders"))
+
+    def lines_of(df: DataFrame, rank: int) -> DataFrame:
+        return shape(df, rank, F.col("channel"), F.col("sku"), F.col("name"), F.col("tins"), F.col("revenue"), F.col("revenue"), F.lit(0))
+
+    def orders_of(df: DataFrame) -> DataFrame:
+        return shape(df, 9, F.col("channel"), none, none, F.lit(0), zero, zero, F.col("orders"))
+
+    amz = F.lit("amz")
+    before = F.col("ym") < cutover
+    items = marketplace_facts(market_items).filter(before)
+    heads = marketplace_heads(market_orders).filter(before)
+    parts = [
+        lines_of(line_facts(channel_lines(erp_orders, erp_lines, cutover)), 0),
+        orders_of(order_counts(channel_heads(erp_orders, cutover), top_level(erp_lines))),
+        lines_of(store_facts(store_lines(store_orders, store_items)), 1),
+        orders_of(order_counts(store_heads(store_orders), store_items)),
+        shape(items, 2, amz, F.col("sku"), F.col("name"), F.col("units"), F.col("revenue"), zero, F.lit(0)),
+        shape(heads, 9, amz, none, none, F.lit(0), zero, F.col("revenue"), F.col("orders")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _fold(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Tins per channel, totals, and the product name of the best-ranked source."""
+    named = F.when(F.col("name").isNotNull(), F.struct((-F.col("rank")).alias("order"), "name"))
+    return rows.groupBy(*keys).agg(
+        F.max(named)["name"].alias("name"),
+        *[_sum(F.when(F.col("channel") == c, F.col("tins")), TINS).alias(c) for c in SALES_CHANNELS],
+        _sum("tins", TINS).alias("total_tins"), _sum("revenue").alias("revenue"), F.sum("orders").alias("orders"))
+
+
+def _moved():
+    return (F.col("total_tins") != 0) | (F.col("revenue") != 0)
+
+
+def sku_rows(facts: DataFrame) -> DataFrame:
+    """One row per month and SKU over all five channels, all-zero rows dropped."""
+    return _fold(facts.filter(F.col("sku").isNotNull()), ["ym", "sku"]).filter(_moved()).drop("orders")
+
+
+def five_channel(facts: DataFrame, credits: DataFrame) -> DataFrame:
+    """The monthly sales report as rows tagged by section: channel, sku, refund, refund_sku.
+
+    Channel and SKU rows come out of one aggregation over the summed facts.
+    """
+    def entry(section: str, key, name, revenue, orders):
+        return F.struct(
+            F.lit(section).alias("section"), key.alias("key"), name.alias("name"), revenue.alias("revenue"), orders.alias("orders"))
+
     none = F.lit(None)
-    channels = report["channels"].select(
-        F.lit("channel").alias("section"), "ym", F.col("channel").alias("key"), none.cast("string").alias("name"),
-        *[none.cast(TINS).alias(c) for c in SALES_CHANNELS], F.col("tins").alias("total_tins"), "revenue", "orders")
-    refunds = report["refunds"].select(
-        F.lit("refund").alias("section"), "ym", F.lit("all").alias("key"), none.cast("string").alias("name"),
-        *[none.cast(TINS).alias(c) for c in SALES_CHANNELS], F.col("tins").alias("total_tins"), "revenue", "orders")
-    refund_skus = report["refund_skus"].select(
-        F.lit("refund_sku").alias("section"), "ym", F.col("sku").alias("key"), "name",
-        *[none.cast(TINS).alias(c) for c in SALES_CHANNELS], F.col("tins").alias("total_tins"),
-        F.col("sales").alias("revenue"), none.cast("bigint").alias("orders"))
-    skus = report["skus"].select(
-        F.lit("sku").alias("section"), "ym", F.col("sku").alias("key"), "name", *SALES_CHANNELS, "total_tins", "revenue",
-        none.cast("bigint").alias("orders"))
-    return channels.unionByName(refunds).unionByName(refund_skus).unionByName(skus)
+    text, tins = none.cast("string"), none.cast(TINS)
+    entries = F.array_compact(F.array(
+        entry("channel", F.col("channel"), text, F.col("channel_revenue"), F.col("orders")),
+        F.when(F.col("sku").isNotNull(), entry("sku", F.col("sku"), F.col("name"), F.col("revenue"), none.cast("bigint")))))
+    rows = facts.select("ym", "channel", "rank", "tins", F.explode(entries).alias("e")).select("ym", "channel", "rank", "tins", "e.*")
+    folded = _fold(rows, ["section", "ym", "key"]).filter((F.col("section") == "channel") | _moved())
+    is_sku = F.col("section") == "sku"
+    out = ["section", "ym", "key", "name", *SALES_CHANNELS, "total_tins", "revenue", "orders"]
+    sales = folded.withColumns({c: F.when(is_sku, F.col(c)) for c in SALES_CHANNELS}).select(*out)
+    blank = {c: tins for c in SALES_CHANNELS}
+    refunds = refunds_month(credits).withColumns({
+        "section": F.lit("refund"), "key": F.lit("all"), "name": text, **blank}).withColumnRenamed("tins", "total_tins")
+    refund_skus = refund_sku_lines(credits).withColumns({
+        "section": F.lit("refund_sku"), "orders": none.cast("bigint"), **blank}).withColumnsRenamed(
+        {"sku": "key", "tins": "total_tins", "sales": "revenue"})
+    return sales.unionByName(refunds.select(*out)).unionByName(refund_skus.select(*out))
+
+
+def five_channel_sorted(rows: DataFrame) -> DataFrame:
+    """Sections together, months in order, the biggest SKUs first."""
+    return rows.orderBy("section", "ym", F.col("total_tins").desc(), "key")
 
 
 def channel_month_raw(documents: DataFrame, credits: DataFrame) -> DataFrame:
@@ -215,7 +277,7 @@ def channel_source_compare(orders: DataFrame, lines: DataFrame, market_orders: D
     tops = derive_lines(lines, "sales").filter(F.col("parent_id") == 0)
     erp = tops.join(mirror.select(F.col("id").alias("order_id"), F.substring("created_date", 1, 7).alias("ym")), "order_id").groupBy("ym").agg(
         F.count_distinct("order_id").alias("erp_orders"), _sum("tins", TINS).alias("erp_tins"), _sum("total").alias("erp_revenue"))
-    own, _ = marketplace_channel(market_orders, market_items)
+    own, _ = marketplace_channel(marketplace_facts(market_items), marketplace_heads(market_orders))
     own = own.select("ym", F.col("orders").alias("mkt_orders"), F.col("tins").alias("mkt_tins"), F.col("revenue").alias("mkt_revenue"))
     return erp.join(own, "ym", "full").na.fill(0)
 

@@ -64,9 +64,21 @@ def order_lines(orders: DataFrame, lines: DataFrame, floor: dt.date | None = Non
     return lines.join(keep, "order_id")
 
 
+def sum_with_name(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums per key and the greatest name.
+
+    A text maximum would make Spark sort every row before combining.  With the
+    name as a key of the first step the rows are hashed, and only the few
+    (key, name) pairs left are sorted.
+    """
+    first = rows.groupBy(*keys, "name").agg(*[col.alias(n) for n, col in sums.items()])
+    again = [F.sum(n).cast(first.schema[n].dataType).alias(n) for n in sums]
+    return first.groupBy(*keys).agg(F.max("name").alias("name"), *again)
+
+
 def sku_daily(lines: DataFrame, sku: str = "sku") -> DataFrame:
-    return lines.groupBy("market", F.col(sku).alias("sku"), F.col("local_date").alias("day")).agg(
-        F.max("name").alias("name"), F.sum("quantity").alias("qty"), money(F.col("total")).alias("revenue"))
+    rows = lines.select("market", F.col(sku).alias("sku"), F.col("local_date").alias("day"), "name", "quantity", "total")
+    return sum_with_name(rows, ["market", "sku", "day"], {"qty": F.sum("quantity"), "revenue": money(F.col("total"))})
 
 
 def sku_totals(daily: DataFrame, as_of: dt.date, months: int) -> DataFrame:
