@@ -43,17 +43,17 @@ def replace_children(lines: DataFrame, parents: DataFrame, new_lines: DataFrame,
 def supersede_ranges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Land re-fetched report batches.
 
-    A batch replaces every row other batches hold for its (market, range);
-    then rows with a line id are unique per (market, line id), newest batch
-    first.  Rows without a line id are only replaced by range.
+    The newest incoming batch of a (market, range) replaces every row stored
+    for it, its own included, so landing a batch twice changes nothing.  Then
+    rows with a line id are unique per (market, line id), newest batch first:
+    a line may have moved between ranges.  Rows without an id are only replaced
+    by range.
     """
-    batches = incoming.select("market", "range_label", F.col("report_job_id").alias("new_job")).distinct()
-    other = (
-        (existing["market"] == batches["market"]) & (existing["range_label"] == batches["range_label"])
-        & (existing["report_job_id"] != batches["new_job"])
-    )
-    kept = existing.join(batches, other, "left_anti").withColumn("is_new", F.lit(0))
-    both = kept.unionByName(incoming.withColumn("is_new", F.lit(1)))
+    span = ["market", "range_label"]
+    batches = incoming.groupBy(*span).agg(F.max("report_job_id").alias("report_job_id"))
+    kept = existing.join(batches.select(*span), span, "left_anti").withColumn("is_new", F.lit(0))
+    landed = incoming.join(batches, [*span, "report_job_id"], "left_semi").withColumn("is_new", F.lit(1))
+    both = kept.unionByName(landed)
     known = F.col("shipment_item_id").isNotNull()
     unique = latest_by_key(both.filter(known), ["market", "shipment_item_id"], ["is_new", "report_job_id"])
     return unique.unionByName(both.filter(~known)).drop("is_new")

@@ -72,19 +72,23 @@ def detect_milestones(stream: DataFrame, path: str, thresholds: tuple[int, ...]
     run_available(stream, handle, f"{path}/checkpoint")
 
 
-def hourly_counts(stream: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Orders per market and event-time hour; rows later than ``late`` are left to the re-sweep."""
-    return (
-        stream.withWatermark("at", late).groupBy("market", F.window("at", "1 hour").alias("w"))
-        .agg(F.count("*").alias("orders")).select("market", F.col("w.start").alias("hour_start"), "orders")
-    )
-
-
 def dedupe_pages(stream: DataFrame, key: str = "id", late: str = "1 day") -> DataFrame:
-    """Drop repeats of an id across overlapping pages, first copy wins."""
+    """Drop repeats of an id across overlapping pages, first copy wins.
+
+    The watermark on ``at`` only bounds the remembered ids; rows later than
+    that are left to the re-sweep.
+    """
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark([key])
 
 
+def hourly_counts(stream: DataFrame) -> DataFrame:
+    """Orders per market and event-time hour of a stream with a watermark on ``at``."""
+    return (
+        stream.groupBy("market", F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("orders"))
+        .select("market", F.col("w.start").alias("hour_start"), "orders")
+    )
+
+
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:
