@@ -1,6 +1,6 @@
 """Run queries on Spark and their SQL on DuckDB, and compare the rows.
 
-    python tools/check.py [sf] [key ...]
+    python tools/check.py [sf or folder] [key ...]
 """
 
 from __future__ import annotations
@@ -69,8 +69,8 @@ def compare(spark, con, key: str, sf_dir: str) -> tuple[str, int]:
 
 def main() -> int:
     args = sys.argv[1:]
-    sf = args.pop(0) if args and args[0][0].isdigit() else "0.001"
-    sf_dir = f"/root/testdata/sf{sf}"
+    at = args.pop(0) if args and (args[0][0].isdigit() or args[0].startswith("/")) else "0.001"
+    sf_dir = at if at.startswith("/") else f"/root/testdata/sf{at}"
     spark = build_session("8")
     con = duck(sf_dir)
     failed = 0
