@@ -217,7 +217,7 @@ SELECT 'order' AS kind, order_id, CAST(NULL AS VARCHAR) AS sku, CAST(NULL AS VAR
  CAST(any_value(local_date) AS VARCHAR) AS local_date FROM k GROUP BY 2
 UNION ALL SELECT 'item', order_id, trim(sku), CASE WHEN trim(sku) LIKE 'AU-%' THEN trim(sku) END, quantity, CAST(item_price AS DOUBLE), CAST(local_date AS VARCHAR) FROM k""")
 def import_marketplace_csv(v):
-    items = marketplace.csv_items(marketplace.tag_csv(marketplace_files(v)))
+    items = marketplace.csv_items(marketplace.csv_rows(marketplace_files(v)))
     none = F.lit(None).cast("string")
     orders = marketplace.csv_orders(items).select(
         F.lit("order").alias("kind"), "order_id", none.alias("sku"), none.alias("dashboard_sku"), F.col("items").alias("quantity"), "total", "local_date")
@@ -233,8 +233,8 @@ UNION ALL SELECT 'lines', CASE WHEN trim(sku) LIKE 'AU-%' THEN 'mapped' ELSE 'un
 UNION ALL SELECT 'unmapped sku', trim(sku), count(*) FROM k WHERE trim(sku) LIKE 'X-%' GROUP BY 2
 UNION ALL SELECT 'month', strftime(local_date, '%Y-%m'), count(DISTINCT order_id) FROM k GROUP BY 2""")
 def import_marketplace_csv_stats(v):
-    seen = v("x_mkt_csv").agg(F.count("*").alias("n"))
-    return marketplace.csv_stats(marketplace.tag_csv(marketplace_files(v)), seen)
+    rows = marketplace.csv_rows(marketplace_files(v))
+    return marketplace.csv_stats(rows, marketplace.csv_items(rows))
 
 
 @query("fba_inventory", f"""

@@ -50,13 +50,16 @@ def supersede_ranges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     by range.
     """
     span = ["market", "range_label"]
-    batches = incoming.groupBy(*span).agg(F.max("report_job_id").alias("report_job_id"))
-    kept = existing.join(batches.select(*span), span, "left_anti").withColumn("is_new", F.lit(0))
-    landed = incoming.join(batches, [*span, "report_job_id"], "left_semi").withColumn("is_new", F.lit(1))
-    both = kept.unionByName(landed)
-    known = F.col("shipment_item_id").isNotNull()
-    unique = latest_by_key(both.filter(known), ["market", "shipment_item_id"], ["is_new", "report_job_id"])
-    return unique.unionByName(both.filter(~known)).drop("is_new")
+    newest = incoming.groupBy(*span).agg(F.max("report_job_id").alias("new_job"))
+    both = existing.withColumn("is_new", F.lit(0)).unionByName(incoming.withColumn("is_new", F.lit(1)))
+    untouched = (F.col("is_new") == 0) & F.col("new_job").isNull()
+    landed = (F.col("is_new") == 1) & (F.col("report_job_id") == F.col("new_job"))
+    rows = both.join(newest, span, "left").filter(untouched | landed).drop("new_job")
+    # A row without a line id is its own identity; the number only has to be unique.
+    own = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    identity = F.coalesce(F.concat(F.lit("line "), "shipment_item_id"), own)
+    keyed = rows.withColumn("identity", identity)
+    return latest_by_key(keyed, ["market", "identity"], ["is_new", "report_job_id"]).drop("identity", "is_new")
 
 
 def _ingested_latest(jobs: DataFrame) -> DataFrame:

@@ -117,12 +117,8 @@ def canonical_csv(raw: DataFrame) -> DataFrame:
     return raw.select("position", *fields)
 
 
-def tag_csv(files: list[DataFrame]) -> DataFrame:
-    """Rows of all files with the reason each is dropped for, or 'kept'.
-
-    Repeats are judged among rows that pass the other filters: the earliest by
-    file and row stays.
-    """
+def csv_rows(files: list[DataFrame]) -> DataFrame:
+    """Rows of all files with the reason a row is dropped for, or 'candidate'."""
     rows = canonical_csv(files[0])
     for raw in files[1:]:
         rows = rows.unionByName(canonical_csv(raw), allowMissingColumns=True)
@@ -131,31 +127,30 @@ def tag_csv(files: list[DataFrame]) -> DataFrame:
         return F.trim(F.coalesce(c, F.lit("")))
 
     currency = F.upper(F.coalesce(blank_null(F.col("currency")), F.lit("AUD")))
+    country = F.upper(text("country"))
+    reason = (
+        F.when(text("order_id") == "", "no_order_id").when(~country.isin("", "AU"), "non_au_ship_country")
+        .when(currency != "AUD", "non_aud_currency").otherwise("candidate")
+    )
     bought = text("purchase_date")
     moment = calendar.instant(F.regexp_replace(bought, " ", "T"))
     # The export's dates use a fixed +10 h, without daylight saving.
     day = F.coalesce((moment + F.expr("INTERVAL 10 HOURS")).cast("date"), calendar.leading_date(bought))
-    shaped = rows.select(
-        "position", text("order_id").alias("order_id"), F.upper(text("country")).alias("country"), currency.alias("currency"),
-        text("item_id").alias("item_id"), text("sku").alias("seller_sku"), bought.alias("purchase_date"), day.alias("local_date"),
-        text("product_name").alias("name"), whole(F.col("quantity")).alias("quantity"), number(F.col("item_price")).alias("item_price"),
-        number(F.col("shipping")).alias("shipping"))
-    key = F.coalesce(F.nullif("item_id", F.lit("")), F.concat("order_id", F.lit("|"), "seller_sku"))
-    reason = (
-        F.when(F.col("order_id") == "", "no_order_id")
-        .when((F.col("country") != "") & (F.col("country") != "AU"), "non_au_ship_country")
-        .when(F.col("currency") != "AUD", "non_aud_currency").otherwise("candidate")
-    )
-    tagged = shaped.withColumns({"reason": reason, "dedupe_key": key})
-    candidates = tagged.filter(F.col("reason") == "candidate")
-    kept = first_by_key(candidates, ["dedupe_key"], ["position"]).withColumn("reason", F.lit("kept"))
-    # Only the number of repeats is reported, so the repeats themselves need not be found.
-    return kept.unionByName(tagged.filter(F.col("reason") != "candidate")).withColumn(
-        "dashboard_sku", codes.regional_marketplace_sku(F.col("seller_sku")))
+    return rows.select(
+        "position", reason.alias("reason"), text("order_id").alias("order_id"), currency.alias("currency"), text("item_id").alias("item_id"),
+        text("sku").alias("seller_sku"), bought.alias("purchase_date"), day.alias("local_date"), text("product_name").alias("name"),
+        whole(F.col("quantity")).alias("quantity"), number(F.col("item_price")).alias("item_price"), number(F.col("shipping")).alias("shipping"))
+
 
+def csv_items(rows: DataFrame) -> DataFrame:
+    """Kept lines: of repeats among the candidates, the earliest by file and row.
 
-def csv_items(tagged: DataFrame) -> DataFrame:
-    return tagged.filter(F.col("reason") == "kept").drop("reason", "country")
+    A line is known by its shipment item id, else by order and SKU.
+    """
+    key = F.coalesce(F.nullif("item_id", F.lit("")), F.concat("order_id", F.lit("|"), "seller_sku"))
+    candidates = rows.filter(F.col("reason") == "candidate").drop("reason").withColumn("dedupe_key", key)
+    return first_by_key(candidates, ["dedupe_key"], ["position"]).withColumn(
+        "dashboard_sku", codes.regional_marketplace_sku(F.col("seller_sku")))
 
 
 def csv_orders(items: DataFrame) -> DataFrame:
@@ -166,23 +161,33 @@ def csv_orders(items: DataFrame) -> DataFrame:
     ).select("order_id", F.lit("Shipped").alias("status"), "f.purchase_date", "f.local_date", "f.currency", "total", "items")
 
 
-def csv_stats(tagged: DataFrame, rows_seen: DataFrame) -> DataFrame:
+def csv_stats(rows: DataFrame, items: DataFrame) -> DataFrame:
     """(metric, key, n): rows by reason, mapped lines, unmapped SKUs, months covered.
 
-    ``rows_seen`` is one row with the number of rows read, column n.
+    Only the number of repeats is reported: candidates read less lines kept.
     """
-    by_reason = tagged.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("reason").alias("metric"), F.col("reason").alias("key"), "n")
-    seen = rows_seen.select(F.lit("rows").alias("metric"), F.lit("seen").alias("key"), "n")
-    rest = by_reason.agg(F.sum("n").alias("n")).select((-F.col("n")).alias("n")).unionByName(rows_seen.select("n")).agg(F.sum("n").alias("n"))
-    repeats = rest.select(F.lit("reason").alias("metric"), F.lit("duplicate_item_id").alias("key"), "n")
-    items = csv_items(tagged)
-    mapped = items.groupBy(F.when(F.col("dashboard_sku").isNull(), "unmapped").otherwise("mapped").alias("key")).agg(
-        F.count("*").alias("n")).select(F.lit("lines").alias("metric"), "key", "n")
-    unknown = items.filter(F.col("dashboard_sku").isNull() & (F.col("seller_sku") != "")).groupBy(F.col("seller_sku").alias("key")).agg(
-        F.count("*").alias("n")).select(F.lit("unmapped sku").alias("metric"), "key", "n")
-    months = csv_orders(items).filter(F.col("local_date").isNotNull()).groupBy(calendar.month_of(F.col("local_date")).alias("key")).agg(
-        F.count("*").alias("n")).select(F.lit("month").alias("metric"), "key", "n")
-    return seen.unionByName(by_reason).unionByName(repeats).unionByName(mapped).unionByName(unknown).unionByName(months)
+    def metric(name: str, df: DataFrame, key: str | Column = "key") -> DataFrame:
+        shown = F.col(key) if isinstance(key, str) else key
+        return df.select(F.lit(name).alias("metric"), shown.alias("key"), "n")
+
+    count = F.count("*").alias("n")
+    read = rows.groupBy("reason").agg(count)
+    seen = read.agg(F.sum("n").alias("n"))
+    candidate = F.col("reason") == "candidate"
+    kept = items.agg(count)
+    repeats = read.filter(candidate).select("n").unionByName(kept.select((-F.col("n")).alias("n"))).agg(F.sum("n").alias("n"))
+    known = F.col("dashboard_sku").isNotNull()
+    mapped = items.groupBy(F.when(known, "mapped").otherwise("unmapped").alias("key")).agg(count)
+    unknown = items.filter(~known & (F.col("seller_sku") != "")).groupBy(F.col("seller_sku").alias("key")).agg(count)
+    orders = items.groupBy("order_id").agg(F.min(F.struct("position", "local_date"))["local_date"].alias("local_date"))
+    months = orders.filter(F.col("local_date").isNotNull()).groupBy(calendar.month_of(F.col("local_date")).alias("key")).agg(count)
+    parts = [
+        metric("rows", seen, F.lit("seen")), metric("reason", read.filter(~candidate), "reason"), metric("reason", kept, F.lit("kept")),
+        metric("reason", repeats, F.lit("duplicate_item_id")), metric("lines", mapped), metric("unmapped sku", unknown), metric("month", months)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 FBA_SCHEMA = (

@@ -70,14 +70,13 @@ def test_marketplace_csv_conventions(spark, tmp_path):
     first = (tmp_path / "b.txt").read_text().splitlines()[0]
     assert marketplace.sniff_delimiter(first) == "\t" and marketplace.sniff_delimiter(titled) == ","
     files = [parse.read_csv(spark, str(tmp_path / "a.csv")), parse.read_csv(spark, str(tmp_path / "b.txt"), sep="\t")]
-    tagged = marketplace.tag_csv(files)
-    items = marketplace.csv_items(tagged)
+    rows = marketplace.csv_rows(files)
+    items = marketplace.csv_items(rows)
     assert sorted((r["order_id"], r["seller_sku"], r["quantity"]) for r in items.collect()) == [("O1", "AU-X", 2), ("O1", "AU-X", 9), ("O1", "ZZ", 1), ("O3", "AU-Y", 1)]
     orders = {r["order_id"]: r for r in marketplace.csv_orders(items).collect()}
     assert float(orders["O1"]["total"]) == 115.0 and orders["O1"]["local_date"] == dt.date(2026, 3, 16)
-    seen = spark.createDataFrame([(5,)], "n long")
-    stats = {(r["metric"], r["key"]): r["n"] for r in marketplace.csv_stats(tagged, seen).collect()}
-    assert stats[("reason", "non_aud_currency")] == 1 and stats[("reason", "duplicate_item_id")] == 0 and stats[("unmapped sku", "ZZ")] == 1
+    stats = {(r["metric"], r["key"]): r["n"] for r in marketplace.csv_stats(rows, items).collect()}
+    assert stats[("rows", "seen")] == 5 and stats[("reason", "non_aud_currency")] == 1 and stats[("reason", "duplicate_item_id")] == 0 and stats[("unmapped sku", "ZZ")] == 1
     with pytest.raises(ValueError, match="item_price"):
         marketplace.canonical_csv(files[1].drop("item-price"))
 
