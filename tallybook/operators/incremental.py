@@ -66,13 +66,19 @@ def import_cursor(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.max(column).alias("cursor"))
 
 
-def stale_sources(runs: DataFrame, hours: dict[str, int], now: dt.datetime) -> DataFrame:
-    """Last run per source, market and action against the allowed age."""
+def stale_sources(runs: DataFrame, hours: dict[str, int], now: dt.datetime, expected: DataFrame | None = None) -> DataFrame:
+    """Last run per source, market and action against the allowed age.
+
+    ``expected`` lists what should run; what never ran is stale too.
+    """
+    key = ["source", "market", "action"]
     limit = F.create_map(*[x for k, v in hours.items() for x in (F.lit(k), F.lit(v))])[F.col("action")]
-    last = runs.groupBy("source", "market", "action").agg(F.max("run_at").alias("last_run"))
+    last = runs.groupBy(*key).agg(F.max("run_at").alias("last_run"))
+    if expected is not None:
+        last = expected.select(*key).join(last, key, "left")
     age = F.timestamp_diff("SECOND", F.col("last_run"), F.lit(now).cast("timestamp_ntz"))
     out = last.withColumns({"age_seconds": age, "allowed_hours": limit})
-    return out.withColumn("stale", F.col("age_seconds") >= F.col("allowed_hours") * 3600)
+    return out.withColumn("stale", F.col("last_run").isNull() | (F.col("age_seconds") >= F.col("allowed_hours") * 3600))
 
 
 def sellouts(ticks: DataFrame, block: str = "minute") -> DataFrame:

@@ -37,14 +37,18 @@ def blank_null(text: Column) -> Column:
 
 
 def whole(text: Column) -> Column:
-    """Leading integer of a text ('3.7' is 3), 0 when there is none."""
-    return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    """Leading integer of a text ('3.7' is 3), 0 when there is none.
+
+    Clean numbers are cast; only the rest pay for a regular expression.
+    """
+    lead = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("long")
+    return F.coalesce(text.try_cast("double").try_cast("long"), lead, F.lit(0).cast("long"))
 
 
 def number(text: Column, kind: str = MONEY) -> Column:
     """Leading decimal number of a text, 0 when there is none."""
-    lead = F.regexp_extract(text, r"^\s*([+-]?\d*\.?\d+(?:[eE][+-]?\d+)?)", 1)
-    return F.coalesce(lead.try_cast(kind), F.lit(0).cast(kind))
+    lead = F.regexp_extract(text, r"^\s*([+-]?\d*\.?\d+(?:[eE][+-]?\d+)?)", 1).try_cast(kind)
+    return F.coalesce(text.try_cast(kind), lead, F.lit(0).cast(kind))
 
 
 def any_time(text: Column, formats: tuple[str, ...]) -> Column:

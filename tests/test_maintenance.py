@@ -120,3 +120,20 @@ def test_mailer_bands(spark):
     assert (r["box"], r["large_envelope"], r["envelope"], r["unassigned"], r["orders"]) == (3, 4, 1, 0, 8)
 
 
+
+
+def test_source_that_never_ran_is_stale(spark):
+    now = dt.datetime(2026, 1, 1, 12)
+    runs = spark.createDataFrame([("a", "CA", "sweep", now - dt.timedelta(hours=3))], "source string, market string, action string, run_at timestamp_ntz")
+    expected = spark.createDataFrame([("a", "CA", "sweep"), ("a", "US", "sweep")], "source string, market string, action string")
+    out = {r["market"]: r["stale"] for r in incremental.stale_sources(runs, {"sweep": 4}, now, expected).collect()}
+    assert out == {"CA": False, "US": True}
+
+
+def test_number_texts(spark):
+    from tallybook.sources.parse import number, whole
+
+    texts = ["3.99999", " 12 ", "-4.5x", "abc", "", None, "7.0", "1,000"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in rows.select(whole(F.col("t"))).collect()] == [3, 12, -4, 0, 0, 0, 7, 1]
+    assert [float(r[0]) for r in rows.select(number(F.col("t"))).collect()] == [4.0, 12.0, -4.5, 0.0, 0.0, 0.0, 7.0, 1.0]
