@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_RUNS
-(default 3 warm runs; the median counts).  Every query runs to completion into a
+(default 2 warm runs; the median counts).  Every query runs to completion into a
 sink that drops the rows, so the whole result is computed and nothing is collected.
 """
 
@@ -30,7 +30,7 @@ HEADLINE = (
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(cpus, "tallybook-bench")
     seconds = {}
