@@ -16,21 +16,30 @@ BYTE_VALUE[65:91] = BYTE_VALUE[97:123]
 BASE = np.uint64(int(_RNG.integers(1, 2**62)) * 2 + 1)
 BASE_BACK = np.uint64(pow(int(BASE), -1, 2**64))
 RUN_BASE = np.uint64(int(_RNG.integers(1, 2**62)) * 2 + 1)
+RUN_BASE_BACK = np.uint64(pow(int(RUN_BASE), -1, 2**64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 PIECE = 1 << 15
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << int(n - 1).bit_length()
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1."""
+    have = _powers.get(int(base))
+    if have is None or len(have) < n:
+        have = np.full(1 << int(n - 1).bit_length(), base, np.uint64)
+        have[0] = 1
         with np.errstate(over="ignore"):
-            for way, base in (("up", BASE), ("down", BASE_BACK)):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                _powers[way] = np.cumprod(p, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+            have = _powers[int(base)] = np.cumprod(have, dtype=np.uint64)
+    return have[:n]
+
+
+def span_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray, base: np.uint64, back: np.uint64) -> np.ndarray:
+    """Hash of values[first:end] for every span, by one cumulative sum."""
+    n = len(values)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _power(base, n + 1)[:n], dtype=np.uint64)))
+        return mix((total[end] - total[first]) * _power(back, n + 1)[first] + (end - first).astype(np.uint64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -61,10 +70,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edge = np.diff(np.concatenate(([True], IS_SPACE[a], [True])).view(np.int8))
         s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(s):
-            up, down = _power(len(a) + 1)
-            with np.errstate(over="ignore"):
-                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[a] * up[: len(a)], dtype=np.uint64)))
-                hashes.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
+            hashes.append(span_hashes(BYTE_VALUE[a], s, e, BASE, BASE_BACK))
             firsts.append(s + at)
             lasts.append(e + at)
     if not hashes:
