@@ -12,23 +12,21 @@ document of each block, and then, by the tree, between documents that are not ye
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, stored, table
+from .array_sums import summed
+from .common import stored, table
 from .components import components
-from .words import mix, shingles
+from .words import shingles
 
 WORDS, SIMILARITY = 5, (80, 100)
 #: Counters that order shingles by how common they are: of fixed size, whatever the input.
-COUNTERS, CHUNK = 1 << 20, 1 << 14
+COUNTERS = 1 << 20
 #: Groups of a count vector; points in a node; points in a task's block before it is split.
 GROUPS, FANOUT, BLOCK = 64, 32, 2048
 
@@ -47,43 +45,13 @@ def prefix_size(n: int, similarity: tuple[int, int]) -> int:
 
 
 def common_counters(docs: DataFrame, words: int) -> np.ndarray:
-    """Counts of all documents' shingles by hash, in COUNTERS counters.
+    """Counts of all documents' shingles by hash, in COUNTERS counters."""
 
-    A task sends its counters compressed, in chunks; the chunks of 32 tasks at a time are added.
-    """
+    def add(total, texts):
+        for text in texts.cast(pa.binary()):
+            total[(shingles(text.as_py(), words) % np.uint64(COUNTERS)).astype(np.int64)] += 1
 
-    def rows(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                total[(shingles(text.as_py(), words) % np.uint64(COUNTERS)).astype(np.int64)] += 1
-        part = TaskContext.get().partitionId()
-        chunks = [zlib.compress(np.minimum(c, 2**32 - 1).astype("<u4").tobytes(), 1) for c in total.reshape(-1, CHUNK)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part] * len(chunks), pa.int64()), pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())],
-            ["part", "chunk", "counts"],
-        )
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CHUNK, np.int64)
-        for blob in frame["counts"]:
-            total += np.frombuffer(zlib.decompress(blob), "<u4")
-        return pd.DataFrame(
-            {"part": [int(frame["part"].iloc[0])], "chunk": [int(frame["chunk"].iloc[0])], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype("<u4").tobytes(), 1)]}
-        )
-
-    schema = "part long, chunk int, counts binary"
-    parts = stored(docs.select(F.col("text").cast("string")).mapInArrow(rows, schema), "shingle-counters")
-    left = (parts.agg(F.max("part")).first()[0] or 0) + 1
-    while True:
-        parts = parts.withColumn("part", F.floor(F.col("part") / 32)).groupBy("chunk", "part").applyInPandas(add, schema)
-        left = -(-left // 32)
-        if left == 1:
-            break
-    out = np.zeros(COUNTERS, np.uint32)
-    for r in parts.collect():
-        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), "<u4")
-    return out
+    return summed(docs.select(F.col("text").cast("string")), add, COUNTERS, "shingle-counters")
 
 
 # --- pass 2: sets, points and block keys ---------------------------------------------------
