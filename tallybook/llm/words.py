@@ -19,6 +19,8 @@ RUN_BASE = np.uint64(int(_RNG.integers(1, 2**62)) * 2 + 1)
 RUN_BASE_BACK = np.uint64(pow(int(RUN_BASE), -1, 2**64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All ASCII bytes but letters and digits.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 PIECE = 1 << 15
 _powers: dict[int, np.ndarray] = {}
 
@@ -50,24 +52,24 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def _pieces(text: bytes):
-    """(start, end) of pieces of about PIECE bytes that end at white space."""
+def _pieces(text: bytes, breaks: np.ndarray):
+    """(start, end) of pieces of about PIECE bytes that end at a break."""
     start, n = 0, len(text)
     while n - start > PIECE:
         end = start + PIECE
-        while end < n and not IS_SPACE[text[end]]:
+        while end < n and not breaks[text[end]]:
             end += 1
         yield start, end
         start = end
     yield start, n
 
 
-def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of every word."""
+def word_hashes(text: bytes, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of every word, that is, of every run of bytes that are no breaks."""
     hashes, firsts, lasts = [], [], []
-    for at, end in _pieces(text):
+    for at, end in _pieces(text, breaks):
         a = np.frombuffer(text, np.uint8, end - at, at)
-        edge = np.diff(np.concatenate(([True], IS_SPACE[a], [True])).view(np.int8))
+        edge = np.diff(np.concatenate(([True], breaks[a], [True])).view(np.int8))
         s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(s):
             hashes.append(span_hashes(BYTE_VALUE[a], s, e, BASE, BASE_BACK))
