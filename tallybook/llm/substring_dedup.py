@@ -17,7 +17,7 @@ from .common import stored, table
 from .words import RUN_BASE, RUN_BASE_BACK, mix, span_hashes, word_hashes
 
 #: Sentences in a run, the words it needs at least, and the words that make a sentence a span by itself.
-RUN, RUN_WORDS, LONE_WORDS = 2, 12, 25
+RUN, RUN_WORDS, LONE_WORDS = 2, 10, 20
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 

@@ -157,7 +157,8 @@ def _carried(marks: DataFrame, bounds: list[str]) -> DataFrame:
     """For each range but the first, the stack that is open where it begins."""
     spark = marks.sparkSession
     last = marks.groupBy("bucket").agg(F.max_by("stack", "key").alias("stack"))
-    starts = spark.createDataFrame([(i + 1, b) for i, b in enumerate(bounds)], "bucket int, key string")
+    # Before all keys of the range, also before a boundary that begins it.
+    starts = spark.createDataFrame([(i + 1, "") for i in range(len(bounds))], "bucket int, key string")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range: at most a thousand.
     return (
