@@ -13,14 +13,13 @@ document of each block, and then, by the tree, between documents that are not ye
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .array_sums import summed
-from .common import stored, table
+from .common import shuffle_partitions, stored, table
 from .components import components
 from .words import shingles
 
@@ -28,7 +27,7 @@ WORDS, SIMILARITY = 5, (80, 100)
 #: Counters that order shingles by how common they are: of fixed size, whatever the input.
 COUNTERS = 1 << 20
 #: Groups of a count vector; points in a node; points in a task's block before it is split.
-GROUPS, FANOUT, BLOCK = 64, 32, 2048
+GROUPS, FANOUT, BLOCK = 256, 32, 2048
 
 
 def required(a, b, similarity: tuple[int, int]):
@@ -63,7 +62,7 @@ def describe(text: bytes | None, common: np.ndarray, words: int, similarity: tup
     if not len(s):
         return 0, None, None, None, None
     h = xxhash.xxh3_128_intdigest(s.tobytes())
-    vector = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    vector = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS).astype("<u4")
     order = np.lexsort((s, common[(s % np.uint64(COUNTERS)).astype(np.int64)]))
     keys = s[order[: prefix_size(len(s), similarity)]].view(np.int64)
     return len(s), (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), vector.tobytes(), keys
@@ -147,13 +146,10 @@ def block_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     rows: key, i, j (the two chunks that a task compares), chunk, doc, class, n, vector.
     """
 
-    def of_block(frame: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.frombuffer(b"".join(frame["vector"]), "<u4").reshape(len(frame), GROUPS).astype(np.int64)
-        size, doc, of = frame["n"].to_numpy(), frame["doc"].to_numpy(), frame["class"].to_numpy()
-        chunk, (ci, cj) = frame["chunk"].to_numpy(), frame[["i", "j"]].iloc[0]
+    def pairs_of(size, doc, of, chunk, vectors, ci, cj):
         left, right = np.flatnonzero(chunk == ci), np.flatnonzero(chunk == cj)
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+            return None
         tree = CountTree(vectors[left], size[left])
         other = tree if ci == cj else CountTree(vectors[right], size[right])
         x, y = tree_pairs(tree, other, similarity)
@@ -161,9 +157,53 @@ def block_pairs(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         keep = of[x] != of[y]
         if ci == cj:
             keep &= x < y
-        return pd.DataFrame({"a": doc[x[keep]], "b": doc[y[keep]]})
+        return doc[x[keep]], doc[y[keep]]
 
-    return rows.groupBy("key", "i", "j").applyInPandas(of_block, "a long, b long")
+    def of_blocks(batches):
+        """Whole blocks, as they pass in order; the last one of a batch waits for the next batch."""
+        waiting: pa.Table | None = None
+        for batch in batches:
+            rows_ = pa.Table.from_batches([batch])
+            waiting = rows_ if waiting is None else pa.concat_tables([waiting, rows_])
+            yield from finished(waiting, last := _last_block(waiting))
+            waiting = waiting.slice(last)
+        if waiting is not None:
+            yield from finished(waiting, waiting.num_rows)
+
+    def finished(rows_: pa.Table, n: int):
+        if not n:
+            return
+        column = {c: rows_.column(c).slice(0, n) for c in rows_.column_names}
+        number = {c: column[c].to_numpy() for c in ("key", "i", "j", "chunk", "doc", "class", "n")}
+        cuts = _block_starts(number)
+        a, b = [], []
+        for start, end in zip(cuts, [*cuts[1:], n]):
+            part = slice(start, end)
+            vectors = np.frombuffer(b"".join(v.as_py() for v in column["vector"].slice(start, end - start)), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            found = pairs_of(
+                number["n"][part], number["doc"][part], number["class"][part], number["chunk"][part], vectors, number["i"][start], number["j"][start]
+            )
+            if found is not None and len(found[0]):
+                a.append(found[0])
+                b.append(found[1])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(of_blocks, "a long, b long")
+
+
+def _block_starts(number: dict[str, np.ndarray]) -> list[int]:
+    new = np.zeros(len(number["key"]), bool)
+    new[:1] = True
+    for c in ("key", "i", "j"):
+        new[1:] |= number[c][1:] != number[c][:-1]
+    return np.flatnonzero(new).tolist()
+
+
+def _last_block(rows: pa.Table) -> int:
+    """Where the last block of the rows begins."""
+    return _block_starts({c: rows.column(c).to_numpy() for c in ("key", "i", "j")})[-1] if rows.num_rows else 0
 
 
 # --- verification --------------------------------------------------------------------------
