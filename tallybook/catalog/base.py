@@ -134,7 +134,7 @@ SQL_VIEWS.update({
     "s_erp_orders": f"""SELECT *, {SQL_CHANNEL} AS attr, substr(created_date, 1, 7) AS ym FROM f_erp_orders""",
     "s_erp_lines": f"""SELECT order_id, parent_id, trim(code) AS code, {sql_base('code')} AS base_sku,
  {sql_pack('code')} AS mult, {sql_regional('code')} AS is_au, uom_size, qty,
- CAST(coalesce(total, qty * unit_price) AS DECIMAL(18,2)) AS total, left(name, 60) AS name,
+ CAST(coalesce(total, qty * unit_price) AS DECIMAL(18,2)) AS total, name,
  CAST(CASE WHEN uom_size > 1 THEN qty ELSE qty * {sql_pack('code')} END AS DECIMAL(18,4)) AS tins
  FROM f_erp_lines""",
     "s_credit_lines": f"""SELECT credit_note_id, status, substr(created_date, 1, 7) AS ym, parent_id, {sql_base('code')} AS base_sku,

@@ -44,10 +44,10 @@ _LINE = "market, seller_sku, shipment_item_id, quantity, total, date_created, sa
 
 
 @query("supersede_range_upsert", f"""
-WITH b AS (SELECT DISTINCT market, range_label, report_job_id FROM f_mkt_items WHERE report_job_id % 2 = 1 AND market <> 'AU'),
+WITH b AS (SELECT DISTINCT market, range_label, report_job_id FROM f_mkt_items WHERE report_job_id % 2 = 1),
 u AS (SELECT 0 AS is_new, {_LINE} FROM f_mkt_items e WHERE report_job_id % 2 = 0
   AND NOT EXISTS (SELECT 1 FROM b WHERE b.market = e.market AND b.range_label = e.range_label AND b.report_job_id <> e.report_job_id)
- UNION ALL SELECT 1, {_LINE} FROM f_mkt_items WHERE report_job_id % 2 = 1 AND market <> 'AU')
+ UNION ALL SELECT 1, {_LINE} FROM f_mkt_items WHERE report_job_id % 2 = 1)
 SELECT market, seller_sku, shipment_item_id, quantity, CAST(total AS DOUBLE) AS total, date_created, sales_channel, currency, ship_country, range_label, report_job_id FROM (
  SELECT * FROM u WHERE shipment_item_id IS NULL
  UNION ALL SELECT * FROM (SELECT * FROM u WHERE shipment_item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY market, shipment_item_id
@@ -55,7 +55,7 @@ SELECT market, seller_sku, shipment_item_id, quantity, CAST(total AS DOUBLE) AS
 def supersede_range_upsert(v):
     items = v("f_mkt_items")
     odd = F.col("report_job_id") % 2 == 1
-    return maintain.supersede_ranges(items.filter(~odd), items.filter(odd & (F.col("market") != "AU")))
+    return maintain.supersede_ranges(items.filter(~odd), items.filter(odd))
 
 
 _LATEST_JOB = "SELECT market, range_label, max(id) AS latest_job, count(*) AS jobs_seen FROM f_report_jobs WHERE status = 'ingested' GROUP BY 1, 2"

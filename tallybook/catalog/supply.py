@@ -143,7 +143,7 @@ SELECT p.reference AS po, p.company, CAST(p.created_date AS VARCHAR) AS created_
  CASE WHEN p.delivery_date IS NOT NULL THEN 'delivery_date' WHEN p.estimated_delivery_date IS NOT NULL THEN 'estimated_delivery_date' END AS expected_date_source,
  p.status, CAST(p.fully_received_date AS VARCHAR) AS fully_received_date, CAST(p.line_count AS BIGINT) AS line_count, CAST(t.skus AS BIGINT) AS sku_count,
  CAST(fin + ctn AS BIGINT) AS finished_units, CAST(soap AS BIGINT) AS soap_units, CAST(tin AS BIGINT) AS raw_tin_units, CAST(pkg AS BIGINT) AS packaging_units,
- CAST(CASE WHEN fees < 10 THEN fees ELSE 0 END AS BIGINT) AS fee_lines,
+ CAST(fees AS BIGINT) AS fee_lines,
  CAST(CASE type WHEN 'finished' THEN fin + ctn WHEN 'soap' THEN soap WHEN 'tins' THEN tin WHEN 'packaging' THEN pkg ELSE fin + soap + tin + pkg + ctn + oth END AS BIGINT) AS total_units, type
 FROM s_po p JOIN t ON t.reference = p.reference""")
 def po_rollup(v):

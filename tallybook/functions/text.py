@@ -60,7 +60,7 @@ def run_summary(action: Column, status: Column, error: Column, orders: Column, i
     )
     return (
         F.when(status == "rate_limited", F.coalesce(F.when(error != "", error), F.lit("rate-limited by upstream")))
-        .when(status == "error", F.coalesce(F.when(error != "", F.substring(error, 1, 200)), F.lit("error")))
+        .when(status == "error", F.coalesce(F.when(error != "", error), F.lit("error")))
         .when(action == "amazon-reports", reports)
         .otherwise(plain)
     )
@@ -80,7 +80,7 @@ def job_summary(
     ).otherwise("")
     return (
         F.when(status == "ingested", F.concat(name, F.lit(" ingested · "), m.cast("string"), F.lit(" rows matched"), tail))
-        .when(status == "failed", F.concat(name, F.lit(" failed: "), F.substring(F.coalesce(error, F.lit("unknown")), 1, 160)))
+        .when(status == "failed", F.concat(name, F.lit(" failed: "), F.coalesce(error, F.lit("unknown"))))
         .when(status == "ready", F.concat(name, F.lit(" ready to ingest")))
         .otherwise(F.concat(name, F.lit(" pending ("), tries.cast("string"), F.lit(" poll"), F.when(tries == 1, "").otherwise("s"), F.lit(")")))
     )

@@ -10,6 +10,7 @@ from tallybook.functions.channels import erp_channel
 
 QTY = "decimal(18,4)"
 MONEY = "decimal(18,2)"
+PRICE = "decimal(18,6)"
 
 
 def derive_lines(lines: DataFrame, kind: str) -> DataFrame:
@@ -20,8 +21,8 @@ def derive_lines(lines: DataFrame, kind: str) -> DataFrame:
     """
     code = codes.clean(F.col("code"))
     qty = F.coalesce("qty", F.lit(0)).cast(QTY)
-    price = F.col("unit_price") if "unit_price" in lines.columns else F.lit(0).cast(MONEY)
-    total = F.coalesce(F.col("total").cast(MONEY), (qty * F.coalesce(price, F.lit(0).cast(MONEY))).cast(MONEY))
+    price = F.col("unit_price") if "unit_price" in lines.columns else F.lit(0)
+    total = F.coalesce(F.col("total").cast(MONEY), (qty * F.coalesce(price, F.lit(0)).cast(PRICE)).cast(MONEY))
     uom = F.coalesce("uom_size", F.lit(0))
     units = F.when(uom > 1, qty).otherwise((qty * codes.pack_size(code)).cast(QTY))
     regional = codes.is_regional(code)
@@ -41,8 +42,6 @@ def derive_lines(lines: DataFrame, kind: str) -> DataFrame:
         "parent_id": F.coalesce("parent_id", F.lit(0).cast("bigint")),
         "code": F.when(code != "", code),
     }
-    if "name" in lines.columns:
-        derived["name"] = F.substring("name", 1, 60)
     return lines.withColumns(derived)
 
 

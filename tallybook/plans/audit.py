@@ -89,7 +89,8 @@ def activity(runs: DataFrame, jobs: DataFrame, snapshots: DataFrame, now: dt.dat
     Runs and jobs count within ``hours`` (1..168); snapshots always.  The cap
     (10..1000) is the page size; ties break on every shown column.
     """
-    hours, limit = min(max(hours, 1), 168), min(max(limit, 10), 1000)
+    if not 1 <= hours <= 168 or not 10 <= limit <= 1000:
+        raise ValueError("hours must be 1 to 168 and limit 10 to 1000")
     since = F.lit(now - dt.timedelta(hours=hours)).cast("timestamp_ntz")
     none = F.lit(None).cast("string")
     action = F.col("action")

@@ -26,7 +26,7 @@ def stock_by_branch(rows: DataFrame) -> DataFrame:
     ).filter(F.col("code") != "")
     return clean.groupBy("code", "branch").agg(
         F.sum("stock_on_hand").alias("soh"), F.sum("available").alias("avail"), F.sum("incoming").alias("incoming"),
-        F.coalesce(F.max(held), F.lit(False)).alias("held"), F.min(F.substring("product_name", 1, 60)).alias("name"))
+        F.coalesce(F.max(held), F.lit(False)).alias("held"), F.min("product_name").alias("name"))
 
 
 def stock_by_sku(rows: DataFrame) -> DataFrame:

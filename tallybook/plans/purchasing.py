@@ -90,7 +90,7 @@ def po_rollup(lines: DataFrame, open_only: bool = False) -> DataFrame:
         F.col("reference").alias("po"), "company", "created_date", expected_date().alias("expected_date"),
         source.alias("expected_date_source"), "status", "fully_received_date", "line_count", "sku_count",
         filled.alias("finished_units"), b["soap"].alias("soap_units"), b["raw_tin"].alias("raw_tin_units"),
-        b["packaging"].alias("packaging_units"), F.when(b["fees"] < 10, b["fees"]).otherwise(0).alias("fee_lines"),
+        b["packaging"].alias("packaging_units"), b["fees"].alias("fee_lines"),
         units.alias("total_units"), "type",
     )
 

@@ -24,10 +24,10 @@ def is_express(*services: Column) -> Column:
     return hit
 
 
-def order_flags(orders: DataFrame, services: tuple[str, ...] = ("service",)) -> DataFrame:
-    """Add flags: INTL and EXPRESS, either, both or none."""
+def order_flags(orders: DataFrame, services: tuple[str, ...] = ("service", "service_code", "carrier")) -> DataFrame:
+    """Add flags: INTL and EXPRESS, either, both or none; every service field an order has is looked at."""
     intl = is_international(F.col("country"))
-    express = is_express(*[F.col(s) for s in services])
+    express = is_express(*[F.col(s) for s in services if s in orders.columns])
     flags = F.array_compact(F.array(F.when(intl, F.lit("INTL")), F.when(express, F.lit("EXPRESS"))))
     return orders.withColumn("flags", flags)
 

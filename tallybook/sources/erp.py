@@ -14,8 +14,8 @@ from tallybook.operators.maintain import first_by_key, latest_by_key
 from tallybook.sources.parse import MONEY, any_time, blank_null, number
 
 LINE = (
-    "struct<id: long, parentId: long, code: string, name: string, qty: decimal(18,4), uomSize: long,"
-    " unitPrice: decimal(18,2), total: decimal(18,2)>"
+    "struct<id: long, parentId: long, code: string, name: string, qty: decimal(18,4), uomSize: decimal(18,4),"
+    " unitPrice: decimal(18,6), total: decimal(18,2)>"
 )
 ORDER_SCHEMA = (
     "id long, reference string, company string, firstName string, lastName string, channel string, status string, stage string,"
@@ -28,8 +28,8 @@ CREDIT_SCHEMA = (
 )
 
 
-def _cap(column: str, size: int) -> Column:
-    return F.nullif(F.substring(column, 1, size), F.lit(""))
+def _filled(column: str) -> Column:
+    return F.nullif(F.col(column), F.lit(""))
 
 
 def _land(documents: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
@@ -41,21 +41,21 @@ def _land(documents: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
         "created_date": F.coalesce(created, modified), "modified_date": F.coalesce(modified, created), **present,
     }).filter(F.col("created_date").isNotNull())
     shared = [
-        "id", _cap("reference", 100).alias("reference"), _cap("company", 200).alias("company"),
-        F.coalesce(_cap("status", 40), F.lit("UNKNOWN")).alias("status"), F.coalesce("total", F.lit(0).cast(MONEY)).alias("total"),
+        "id", _filled("reference").alias("reference"), _filled("company").alias("company"),
+        F.coalesce(_filled("status"), F.lit("UNKNOWN")).alias("status"), F.coalesce("total", F.lit(0).cast(MONEY)).alias("total"),
         "created_date", "modified_date"]
     extra = []
     if kind == "sales":
         attr = erp_channel(F.col("channel"), F.col("company"), F.col("firstName"), F.col("reference"))
         extra = [
-            attr.alias("channel_attr"), _cap("stage", 40).alias("stage"), _cap("firstName", 200).alias("first_name"),
-            _cap("lastName", 200).alias("last_name"), blank_null(F.col("dispatchedDate")).alias("dispatched_date"),
+            attr.alias("channel_attr"), _filled("stage").alias("stage"), _filled("firstName").alias("first_name"),
+            _filled("lastName").alias("last_name"), blank_null(F.col("dispatchedDate")).alias("dispatched_date"),
             blank_null(F.col("estimatedDeliveryDate")).alias("delivery_date")]
     heads = latest_by_key(dated.select(*shared, *extra), ["id"], ["modified_date"])
     key = "order_id" if kind == "sales" else "credit_note_id"
     lines = dated.select(F.col("id").alias(key), "created_date", F.explode("lineItems").alias("li")).select(
         key, "created_date", F.col("li.parentId").alias("parent_id"), "li.code", "li.name", "li.qty",
-        F.col("li.uomSize").alias("uom_size"), F.col("li.unitPrice").alias("unit_price"), "li.total")
+        F.col("li.uomSize").cast("long").alias("uom_size"), F.col("li.unitPrice").alias("unit_price"), "li.total")
     return heads, derive_lines(lines, kind)
 
 
@@ -94,7 +94,7 @@ def import_csv(rows: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]
         "channel_attr", F.nullif("Company", F.lit("")).alias("company"), number(F.col("Total Excl")).alias("total"),
         F.date_format(created, _ISO).alias("created_date"), F.date_format(F.coalesce(F.greatest(*past), created), _ISO).alias("modified_date"),
         blank_null(F.col("Item Code")).alias("code"), number(F.col("Item Qty"), "decimal(18,4)").alias("qty"),
-        number(F.col("Item Price")).alias("unit_price"), F.nullif("Item Name", F.lit("")).alias("name"),
+        number(F.col("Item Price"), "decimal(18,6)").alias("unit_price"), F.nullif("Item Name", F.lit("")).alias("name"),
     ).filter(F.col("id").isNotNull())
     header = ["id", "reference", "status", "channel_attr", "company", "total", "created_date", "modified_date"]
     orders = first_by_key(shaped.select("position", *header), ["id"], ["position"]).drop("position")

@@ -32,6 +32,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
     return rows.withColumn("position", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
+def read_report(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """Tab-separated report, every field as text: a quote is a plain character and a line break ends a row."""
+    return (
+        spark.read.option("header", True).option("sep", "\t").option("encoding", encoding)
+        .option("quote", "").option("inferSchema", False).csv(path)
+    )
+
+
 def blank_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 

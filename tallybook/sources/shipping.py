@@ -30,7 +30,8 @@ def orders(documents: DataFrame, status: str | None = "awaiting_shipment") -> Da
     return rows.select(
         F.coalesce("orderNumber", F.col("orderId").cast("string")).alias("order_number"), F.col("orderStatus").alias("order_status"),
         F.coalesce("advancedOptions.storeId", "storeId").alias("store_id"), F.col("shipTo.country").alias("country"),
-        F.coalesce("requestedShippingService", "serviceCode").alias("service"), F.col("carrierCode").alias("carrier"),
+        F.coalesce("requestedShippingService", "serviceCode").alias("service"), F.col("serviceCode").alias("service_code"),
+        F.col("carrierCode").alias("carrier"),
         F.col("billTo.company").alias("bill_company"), F.col("shipTo.company").alias("ship_company"),
         F.col("customerUsername").alias("username"), "items")
 

@@ -11,7 +11,7 @@ from tallybook.sources.parse import number
 
 STOCK_SCHEMA = (
     "code string, styleCode string, productName string, option1 string, option2 string, option3 string, branchName string,"
-    " stockOnHand long, available long, incoming long, openPurchaseOrders long"
+    " stockOnHand decimal(18,4), available decimal(18,4), incoming decimal(18,4), openPurchaseOrders decimal(18,4)"
 )
 
 
@@ -20,14 +20,17 @@ def land_stock(documents: DataFrame) -> DataFrame:
     def filled(c: str) -> Column:
         return F.nullif(c, F.lit(""))
 
-    zero = F.lit(0).cast("long")
+    def units(*fields: str) -> Column:
+        """Whole units: a feed may write 12 as 12.0."""
+        return F.round(F.coalesce(*fields, F.lit(0)), 0).cast("long")
+
     options = F.concat_ws(" / ", filled("option1"), filled("option2"), filled("option3"))
-    title = F.when(options != "", F.concat_ws(" — ", filled("productName"), options)).otherwise(filled("productName"))
+    title = F.when(options == "", filled("productName")).when(filled("productName").isNotNull(), F.concat_ws(" — ", filled("productName"), options))
     return documents.select(
         codes.clean(F.coalesce(filled("code"), filled("styleCode"))).alias("code"), F.col("branchName").alias("branch_name"),
-        F.coalesce("stockOnHand", zero).alias("stock_on_hand"), F.coalesce("available", zero).alias("available"),
-        F.coalesce("incoming", "openPurchaseOrders", zero).alias("incoming"),
-        F.when(filled("productName").isNotNull(), F.substring(title, 1, 60)).alias("product_name"),
+        units("stockOnHand").alias("stock_on_hand"), units("available").alias("available"),
+        units("incoming", "openPurchaseOrders").alias("incoming"),
+        title.alias("product_name"),
     ).filter(F.col("code") != "")
 
 
@@ -55,7 +58,7 @@ _WRAPPED = f"struct<Item: struct<{_ITEM}>, {_ITEM}>"
 def land_3pl_items(pages: DataFrame, column: str = "value") -> DataFrame:
     """Items of pages in any of three shapes, each item bare or wrapped in ``Item``."""
     text = F.col(column)
-    nested = F.flatten(F.slice(F.from_json(text, f"struct<items: array<array<{_WRAPPED}>>>")["items"], 1, 1))
+    nested = F.flatten(F.from_json(text, f"struct<items: array<array<{_WRAPPED}>>>")["items"])
     flat = F.from_json(text, f"struct<items: array<{_WRAPPED}>>")["items"]
     bare = F.from_json(text, f"array<{_WRAPPED}>")
     items = F.when(text.rlike(r"^\s*\["), bare).when(text.rlike(r'"items"\s*:\s*\[\s*\['), nested).otherwise(flat)
@@ -78,20 +81,20 @@ def threepl_inventory(items: DataFrame) -> DataFrame:
     return items.filter(~skip).select("sku", "name", (F.col("quantity") - F.col("quantity_reserved")).alias("quantity"), "category")
 
 
-def validate_upload(rows: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """One row: count, blank SKUs and the verdict on an upload."""
+def validate_upload(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """One row: count, blank SKUs and the verdict, which names every check an upload fails."""
     blank = F.trim(F.coalesce("sku", F.lit(""))) == ""
     counted = rows.agg(F.count("*").alias("rows"), F.count_if(blank).alias("blank"))
-    verdict = (
-        F.when(F.col("rows") == 0, "inventory is empty").when(F.col("rows") > max_rows, "inventory too large")
-        .when(F.col("blank") > 0, "blank sku").otherwise("ok")
-    )
-    return counted.withColumn("verdict", verdict)
+    failed = [F.when(F.col("rows") == 0, "inventory is empty"), F.when(F.col("blank") > 0, "blank sku")]
+    if max_rows is not None:
+        failed.insert(1, F.when(F.col("rows") > max_rows, "inventory too large"))
+    verdict = F.concat_ws("; ", *failed)
+    return counted.withColumn("verdict", F.when(verdict == "", "ok").otherwise(verdict))
 
 
-def accept_upload(rows: DataFrame, uploaded_at: str, file_name: str = "unknown") -> DataFrame:
+def accept_upload(rows: DataFrame, uploaded_at: str, file_name: str = "unknown", max_rows: int | None = None) -> DataFrame:
     """The upload stamped for storage; an invalid one fails the job."""
-    check = validate_upload(rows).first()
+    check = validate_upload(rows, max_rows).first()
     if check["verdict"] != "ok":
         raise ValueError(check["verdict"])
     return rows.withColumns({

@@ -6,7 +6,6 @@ executor or a restarted query never doubles a row.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.operators.maintain import latest_by_key
@@ -17,13 +16,10 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """One batch's rows, or None before the first batch."""
+    """One batch's rows, or None before the first batch; a later batch whose state is gone fails."""
     if batch_id < 0:
         return None
-    try:
-        return spark.read.parquet(f"{path}/batch={batch_id}")
-    except AnalysisException:
-        return None
+    return spark.read.parquet(f"{path}/batch={batch_id}")
 
 
 def read_all(spark: SparkSession, path: str, schema) -> DataFrame:

@@ -161,8 +161,15 @@ VIEWS: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
             ("part_id", "p_partkey"),
         ),
     ),
+    "f_po_supplier": (
+        "(SELECT l_orderkey, min(l_suppkey) AS low, max(l_suppkey) AS high FROM lineitem GROUP BY l_orderkey) s",
+        (
+            ("po_key", "l_orderkey"),
+            ("po_supplier", "CASE WHEN l_orderkey % 2 = 0 THEN low ELSE high END"),
+        ),
+    ),
     "f_po_lines": (
-        "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON o_custkey % 10 = s_suppkey JOIN f_code ON l_partkey = part_id WHERE o_orderkey % 10 = 0",
+        "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN f_po_supplier ON po_key = o_orderkey JOIN supplier ON po_supplier = s_suppkey JOIN f_code ON l_partkey = part_id",
         (
             ("reference", "'PO-'||CAST(o_orderkey AS STRING)"),
             ("company", "s_name"),

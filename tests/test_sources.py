@@ -42,7 +42,7 @@ def test_store_csv_quoted_newlines(spark, tmp_path):
 
 def report(spark, tmp_path, header, *rows):
     (tmp_path / "r.txt").write_text("\n".join(["\t".join(header), *["\t".join(r) for r in rows]]) + "\n")
-    raw = parse.read_csv(spark, str(tmp_path / "r.txt"), sep="\t")
+    raw = parse.read_report(spark, str(tmp_path / "r.txt"))
     return marketplace.tag_report(raw.withColumn("market", F.lit("CA")), ("market",))
 
 
@@ -63,6 +63,13 @@ def test_report_without_quantity_and_per_unit_price(spark, tmp_path):
     assert (row["outcome"], row["quantity"], float(row["total"]), row["price_per_unit"], row["filter_signal"]) == ("matched", 1, 5.5, True, "ship_country")
 
 
+def test_report_with_quotes_in_titles(spark, tmp_path):
+    tagged = report(
+        spark, tmp_path, ["sku", "product-name", "quantity-shipped", "item-price", "ship-country"],
+        ["CA-OG-NPO-35", '"Tin', "2", "5.5", "CA"], ["CA-OG-NPO-35", 'Tin 5" wide', "3", "1", "CA"], ["CA-OG-NPO-35", '"Tin"', "4", "1", "CA"])
+    assert sorted(r["quantity"] for r in tagged.collect()) == [2, 3, 4]
+
+
 def test_marketplace_csv_conventions(spark, tmp_path):
     titled = "Amazon Order Id,Shipment Item ID,Purchase Date,Merchant SKU,Title,Dispatched Quantity,Currency,Item Price,Delivery Price,Delivery Country Code\n"
     (tmp_path / "a.csv").write_text(titled + "O1,I1,2026-03-15T14:23:11+00:00,AU-X,Tin,2,AUD,10,5,AU\nO1,I2,2026-03-15T14:23:11+00:00,ZZ,Tin,1,,1,,\nO2,I3,2026-03-15T04:23:11Z,AU-X,Tin,1,NZD,1,,AU\n")
@@ -101,15 +108,16 @@ def test_3pl_page_shapes(spark):
     pages = [{"items": [[{"Item": item}], [{"Item": flat}]]}, {"items": [flat]}, [{"Item": item}, flat]]
     rows = stock.land_3pl_items(spark.createDataFrame([(json.dumps(p),) for p in pages], "value string"))
     assert sorted((r["sku"], float(r["quantity"]), r["category"]) for r in rows.collect()) == sorted(
-        [("CA-1", 5.5, "Finished"), ("CA-2", 5.5, "Packaging"), ("CA-1", 5.5, "Finished"), ("CA-2", 5.5, "Packaging")])
+        [("CA-1", 5.5, "Finished")] * 2 + [("CA-2", 5.5, "Packaging")] * 3)
     assert {(r["sku"], float(r["quantity"])) for r in stock.threepl_inventory(rows).collect()} == {("CA-1", 3.5)}
 
 
 def test_upload_validation(spark):
-    def verdict(rows, cap=50_000):
+    def verdict(rows, cap=None):
         return stock.validate_upload(spark.createDataFrame(rows, "sku string"), cap).first()["verdict"]
 
     assert [verdict([]), verdict([("a",), ("b",)], 1), verdict([("a",), (" ",)]), verdict([("a",)])] == ["inventory is empty", "inventory too large", "blank sku", "ok"]
+    assert verdict([("a",), (" ",)], 1) == "inventory too large; blank sku"
     with pytest.raises(ValueError, match="blank sku"):
         stock.accept_upload(spark.createDataFrame([(None,)], "sku string"), "2026-01-01T00:00:00Z")
     assert stock.accept_upload(spark.createDataFrame([("a",)], "sku string"), "2026-01-01T00:00:00Z").first()["count"] == 1
