@@ -1,7 +1,7 @@
 """Landing jobs, fed with documents and files Spark makes from the tables.
 
-A document carries one or two lines, as a paged feed may deliver an order in
-parts; no order's lines are ever collected into one array.
+A document carries a whole order with its lines, and some are delivered again.
+No table's lines are ever collected into one array.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from tallybook.catalog.operations import SHIPMENTS
 from tallybook.catalog.supply import THREEPL
 from tallybook.functions import calendar
 from tallybook.plans import erp as erp_reports
-from tallybook.catalog.erp import chan_counts, chan_lines, erp_documents
+from tallybook.catalog.erp import chan_counts, chan_lines
 from tallybook.sources import accounting, erp, marketplace, shipping, stock, store
 from tallybook.sources.parse import from_text
 from tallybook.testviews import VIEWS
@@ -34,26 +34,38 @@ def s(col):
 # --- store -------------------------------------------------------------------
 
 def store_documents(v):
-    o, i = v("f_store_orders"), v("f_store_items")
-    line = F.struct("sku", "name", F.concat(s("quantity"), F.lit(".0")).alias("quantity"), s("line_total").alias("total"))
-    gift = F.struct(F.lit(None).cast("string").alias("sku"), F.lit("Gift").alias("name"), F.lit("1").alias("quantity"), F.lit(None).cast("string").alias("total"))
-    items = i.select("order_id", "sku", "name", "quantity", F.col("total").alias("line_total"))
-    joined = o.join(items, o["id"] == items["order_id"], "left")
-    k = F.col("id")
-    docs = joined.select(
-        "market", "id", F.when(k % 7 != 0, F.col("number")).alias("number"), F.when(k % 11 != 0, F.col("status")).alias("status"),
-        "date_created", s("total").alias("total"), F.when(k % 5 != 0, F.col("currency")).alias("currency"),
-        F.when(F.col("order_id").isNotNull(), F.array(line, gift)).alias("line_items"))
-    return from_text(as_text(docs, ("market",)), store.ORDER_SCHEMA)
-
-
-_STORE_HEAD = "o.id AS order_id, o.market, o.number, CASE WHEN o.id % 11 = 0 THEN 'unknown' ELSE o.status END AS status, CAST(o.local_date AS VARCHAR) AS local_date"
-
-
-@query("land_store_orders", f"""
-SELECT 'order' AS kind, {_STORE_HEAD}, CAST(o.total AS DOUBLE) AS total, o.currency AS detail, CAST(NULL AS BIGINT) AS quantity FROM f_store_orders o
-UNION ALL SELECT 'line', o.id, o.market, NULL, NULL, CAST(o.local_date AS VARCHAR), CAST(i.total AS DOUBLE), i.sku, i.quantity FROM f_store_orders o JOIN f_store_items i ON i.order_id = o.id
-UNION ALL SELECT 'line', o.id, o.market, NULL, NULL, CAST(o.local_date AS VARCHAR), 0, NULL, 1 FROM f_store_orders o JOIN f_store_items i ON i.order_id = o.id""")
+    """Deliveries of every order: all once, some again changed, late, on a tied clock, or as an exact copy."""
+    o, k = v("f_store_orders"), F.col("id")
+
+    def delivery(which, arrival, status, modified, more, gifts):
+        line = F.struct(
+            F.concat(F.lit("S-"), (k % 50).cast("string")).alias("sku"), F.lit("Tin").alias("name"),
+            F.concat((k % 6 + 1 + more).cast("string"), F.lit(".0")).alias("quantity"), s("total").alias("total"))
+        gift = F.struct(F.lit(None).cast("string").alias("sku"), F.lit("Gift").alias("name"), F.lit("1").alias("quantity"), F.lit(None).cast("string").alias("total"))
+        return o.filter(which).select(
+            "market", F.lit(arrival).alias("arrival"), "id", F.when(k % 7 != 0, F.col("number")).alias("number"), status.alias("status"),
+            "date_created", modified.alias("date_modified"), s("total").alias("total"), F.when(k % 5 != 0, F.col("currency")).alias("currency"),
+            F.array(line, *[gift] * gifts).alias("line_items"))
+
+    none, created = F.lit(None).cast("string"), F.col("date_created")
+    known = F.when(k % 11 != 0, F.col("status"))
+    docs = delivery(k >= 0, 0, known, created, 0, 1)
+    for again in (
+        delivery(k % 4 == 0, 1, F.lit("refunded"), F.concat(F.substring("date_created", 1, 10), F.lit("T23:59:59")), 10, 0),
+        delivery(k % 8 == 0, 2, F.lit("zzz"), none, 20, 1),
+        delivery(k % 10 == 5, 3, F.lit("on-hold"), created, 30, 0),
+        delivery(k % 6 == 0, 0, known, created, 0, 1),
+    ):
+        docs = docs.unionByName(again)
+    return from_text(as_text(docs, ("market", "arrival")), store.ORDER_SCHEMA)
+
+
+@query("land_store_orders", """
+WITH w AS (SELECT *, CASE WHEN id % 4 = 0 THEN 10 WHEN id % 10 = 5 THEN 30 ELSE 0 END AS more,
+ CASE WHEN id % 4 = 0 THEN 'refunded' WHEN id % 10 = 5 THEN 'on-hold' WHEN id % 11 = 0 THEN 'unknown' ELSE status END AS last_status FROM f_store_orders)
+SELECT 'order' AS kind, id AS order_id, market, number, last_status AS status, CAST(local_date AS VARCHAR) AS local_date, CAST(total AS DOUBLE) AS total, currency AS detail, CAST(NULL AS BIGINT) AS quantity FROM w
+UNION ALL SELECT 'line', id, market, NULL, NULL, CAST(local_date AS VARCHAR), CAST(total AS DOUBLE), 'S-' || id % 50, id % 6 + 1 + more FROM w
+UNION ALL SELECT 'line', id, market, NULL, NULL, CAST(local_date AS VARCHAR), 0, NULL, 1 FROM w WHERE more = 0""")
 def land_store_orders(v):
     orders, lines = store.land_orders(store_documents(v))
     none = F.lit(None)
@@ -256,24 +268,43 @@ def fba_inventory(v):
 # --- ERP ---------------------------------------------------------------------------
 
 _BOTH_GONE = "id % 899 = 0"
-_CREATED = "CASE WHEN id % 29 = 0 THEN modified_date ELSE created_date END"
-_MODIFIED = "CASE WHEN id % 31 = 0 THEN created_date ELSE modified_date END"
+
+
+_ERP_AGAIN = "2030-01-01T00:00:00Z"
 
 
 @query("land_erp_orders", f"""
-SELECT 'order' AS kind, id, reference AS text, nullif(company, '') AS company, attr AS channel_attr, CASE WHEN id % 37 = 0 THEN 'UNKNOWN' ELSE status END AS status, {_CREATED} AS created_date, {_MODIFIED} AS modified_date,
- CAST(NULL AS DOUBLE) AS tins, CAST(NULL AS DOUBLE) AS total FROM s_erp_orders o WHERE NOT {_BOTH_GONE} AND EXISTS (SELECT 1 FROM f_erp_lines l WHERE l.order_id = o.id)
-UNION ALL SELECT 'line', o.id, i.base_sku, NULL, NULL, NULL, {_CREATED}, NULL, CAST(i.tins AS DOUBLE), CAST(i.total AS DOUBLE) FROM s_erp_orders o JOIN s_erp_lines i ON i.order_id = o.id WHERE NOT {_BOTH_GONE}""")
+WITH w AS (SELECT *, CASE id % 4 WHEN 0 THEN 'AU-CTN-CL-VLB-48' WHEN 1 THEN 'WC-AU-LL-BCF-35-NL' WHEN 2 THEN 'AU-SRT-EF-NPO-35x12' ELSE ' AU-OG-NPO-35 ' END AS code,
+  id % 9 + 1 + CASE WHEN id % 4 = 0 THEN 10 ELSE 0 END AS qty, CASE WHEN id % 29 = 0 THEN CASE WHEN id % 4 = 0 THEN '{_ERP_AGAIN}' ELSE modified_date END ELSE created_date END AS made,
+  CASE WHEN id % 4 = 0 THEN '{_ERP_AGAIN}' WHEN id % 31 = 0 THEN created_date ELSE modified_date END AS changed FROM s_erp_orders WHERE NOT {_BOTH_GONE} OR id % 4 = 0)
+SELECT 'order' AS kind, id, reference AS text, nullif(company, '') AS company, attr AS channel_attr, CASE WHEN id % 37 = 0 THEN 'UNKNOWN' ELSE status END AS status, made AS created_date, changed AS modified_date,
+ CAST(NULL AS DOUBLE) AS tins, CAST(NULL AS DOUBLE) AS total FROM w
+UNION ALL SELECT 'line', id, {sql_base('code')}, NULL, NULL, NULL, made, NULL, CAST(qty * {sql_pack('code')} AS DOUBLE), CAST(CAST(qty * CAST(9.0909 AS DECIMAL(18,6)) AS DECIMAL(18,2)) AS DOUBLE) FROM w
+UNION ALL SELECT 'line', id, '196', NULL, NULL, NULL, made, NULL, 48, 5 FROM w WHERE id % 4 <> 0""")
 def land_erp_orders(v):
     k = F.col("id")
-    item = F.transform("lineItems", lambda li: F.struct(
-        li["parent_id"].alias("parentId"), li["code"].alias("code"), li["name"].alias("name"), li["qty"].alias("qty"), li["uom_size"].alias("uomSize"),
-        li["unit_price"].alias("unitPrice"), li["total"].alias("total")))
-    docs = erp_documents(v).select(
-        "id", "reference", "company", "channel", F.when(k % 37 != 0, F.col("status")).alias("status"),
-        F.when(k % 29 != 0, F.col("created_date")).alias("createdDate"), F.when(k % 31 != 0, F.col("modified_date")).alias("modifiedDate"),
-        F.col("dispatched_date").alias("dispatchedDate"), F.col("delivery_date").alias("estimatedDeliveryDate"), item.alias("lineItems"))
-    heads, lines = erp.land_orders(from_text(as_text(docs), erp.ORDER_SCHEMA))
+    code = F.element_at(F.array(*[F.lit(c) for c in ("AU-CTN-CL-VLB-48", "WC-AU-LL-BCF-35-NL", "AU-SRT-EF-NPO-35x12", " AU-OG-NPO-35 ")]), (k % 4 + 1).cast("int"))
+
+    def delivery(which, arrival, modified, more, fees):
+        def line(c, qty, uom, price, total):
+            return F.struct(
+                F.lit(0).alias("parentId"), c.alias("code"), F.lit("Tin").alias("name"), qty.alias("qty"), F.lit(uom).cast("decimal(4,1)").alias("uomSize"),
+                F.lit(price).cast("decimal(18,6)").alias("unitPrice"), F.lit(total).cast("decimal(18,2)").alias("total"))
+
+        fee = line(F.lit("196"), F.lit(48).cast("long"), 48, 1, 5)
+        return v("f_erp_orders").filter(which).select(
+            F.lit(arrival).alias("arrival"), "id", "reference", "company", "channel", F.when(k % 37 != 0, F.col("status")).alias("status"),
+            F.when(k % 29 != 0, F.col("created_date")).alias("createdDate"), modified.alias("modifiedDate"),
+            F.array(line(code, k % 9 + 1 + more, 1, "9.0909", None), *[fee] * fees).alias("lineItems"))
+
+    usual = F.when(k % 31 != 0, F.col("modified_date"))
+    docs = delivery(k >= 0, 0, usual, 0, 1)
+    for again in (
+        delivery(k % 4 == 0, 1, F.lit(_ERP_AGAIN), 10, 0), delivery(k % 8 == 0, 2, F.lit("1990-01-01T00:00:00Z"), 20, 1), delivery(k % 6 == 0, 0, usual, 0, 1),
+    ):
+        docs = docs.unionByName(again)
+    docs = as_text(docs, ("arrival",))
+    heads, lines = erp.land_orders(from_text(docs, erp.ORDER_SCHEMA))
     none = F.lit(None)
     top = heads.select(
         F.lit("order").alias("kind"), "id", F.col("reference").alias("text"), "company", "channel_attr", "status", "created_date", "modified_date",
@@ -285,13 +316,17 @@ def land_erp_orders(v):
 
 
 @query("land_erp_credit_notes", f"""
-SELECT 'note' AS kind, credit_note_id AS id, CAST(NULL AS VARCHAR) AS base_sku, any_value(status) AS status, CAST(NULL AS DOUBLE) AS tins, CAST(NULL AS DOUBLE) AS revenue_signed FROM f_credit_lines GROUP BY 2
-UNION ALL SELECT 'line', credit_note_id, base_sku, NULL, CAST(tins AS DOUBLE), CAST(revenue AS DOUBLE) FROM s_credit_lines""")
+WITH n AS (SELECT credit_note_id, status, max(code) AS code, max(uom_size) AS uom_size, sum(qty) AS qty, sum(total) AS total FROM f_credit_lines GROUP BY 1, 2)
+SELECT 'note' AS kind, credit_note_id AS id, CAST(NULL AS VARCHAR) AS base_sku, status, CAST(NULL AS DOUBLE) AS tins, CAST(NULL AS DOUBLE) AS revenue_signed FROM n
+UNION ALL SELECT 'line', credit_note_id, {sql_base('code')}, NULL, CAST(CASE WHEN {sql_regional('code')} THEN -abs(CASE WHEN uom_size > 1 THEN qty ELSE qty * {sql_pack('code')} END) ELSE 0 END AS DOUBLE), CAST(-abs(total) AS DOUBLE) FROM n""")
 def land_erp_credit_notes(v):
-    line = F.struct(F.col("parent_id").alias("parentId"), "code", "qty", F.col("uom_size").alias("uomSize"), "total")
-    docs = v("f_credit_lines").select(
+    notes = v("f_credit_lines").groupBy("credit_note_id", "status", "created_date").agg(
+        F.max("code").alias("code"), F.max("uom_size").alias("uom_size"), F.sum("qty").alias("qty"), F.sum("total").alias("total"))
+    line = F.struct(F.lit(0).alias("parentId"), "code", "qty", F.col("uom_size").alias("uomSize"), "total")
+    docs = notes.select(
         F.col("credit_note_id").alias("id"), "status", F.lit(None).cast("string").alias("createdDate"), F.col("created_date").alias("modifiedDate"),
         F.array(line).alias("lineItems"))
+    docs = docs.unionByName(docs.filter("id % 5 = 0"))
     heads, lines = erp.land_credit_notes(from_text(as_text(docs), erp.CREDIT_SCHEMA))
     none = F.lit(None)
     top = heads.select(F.lit("note").alias("kind"), "id", none.cast("string").alias("base_sku"), "status", none.cast("double").alias("tins"), none.cast("double").alias("revenue_signed"))

@@ -7,7 +7,7 @@ combined map-side, so a key with most of the rows stays cheap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import calendar
@@ -28,6 +28,25 @@ def first_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return _one_per_key(rows, keys, order, F.min)
 
 
+def newest_documents(documents: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Whole documents, one per key: the delivery with the highest order.
+
+    The winner is found over a narrow struct and joined back, so no document
+    is shuffled through an aggregate.  Ties break on the content, and exact
+    copies count once.  Documents without a key are left out.
+    """
+    version = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*documents.columns).alias("content"))
+    ranked = documents.withColumn("_version", version)
+    newest = ranked.groupBy(F.col(key).alias("_key")).agg(F.max("_version").alias("_newest"))
+    kept = ranked.join(newest, (F.col(key) == F.col("_key")) & (F.col("_version") == F.col("_newest")))
+    return kept.dropDuplicates([key]).drop("_version", "_key", "_newest")
+
+
+def arrival(documents: DataFrame) -> Column:
+    """Arrival number of a delivery, where the reader gives one."""
+    return F.col("arrival") if "arrival" in documents.columns else F.lit(0)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Replace whole rows by key; the newest delivered copy wins over any stored one."""
     both = old.withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.functions import codes
 from tallybook.functions.channels import erp_channel, erp_channel_csv
 from tallybook.operators.erp_lines import derive_lines
-from tallybook.operators.maintain import first_by_key, latest_by_key
+from tallybook.operators.maintain import arrival, first_by_key, newest_documents
 from tallybook.sources.parse import MONEY, any_time, blank_null, number
 
 LINE = (
@@ -33,13 +33,17 @@ def _filled(column: str) -> Column:
 
 
 def _land(documents: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(headers, lines).  Each date stands in for the other; without both, a document is skipped."""
+    """(headers, lines).  Each date stands in for the other; without both, a document is skipped.
+
+    A document delivered again replaces its header and all its lines.
+    """
     created, modified = blank_null(F.col("createdDate")), blank_null(F.col("modifiedDate"))
     present = {c: F.col(c) if c in documents.columns else F.lit(None).cast("string") for c in (
         "firstName", "lastName", "channel", "stage", "dispatchedDate", "estimatedDeliveryDate")}
     dated = documents.withColumns({
         "created_date": F.coalesce(created, modified), "modified_date": F.coalesce(modified, created), **present,
     }).filter(F.col("created_date").isNotNull())
+    dated = newest_documents(dated, "id", [F.col("modified_date"), arrival(documents)])
     shared = [
         "id", _filled("reference").alias("reference"), _filled("company").alias("company"),
         F.coalesce(_filled("status"), F.lit("UNKNOWN")).alias("status"), F.coalesce("total", F.lit(0).cast(MONEY)).alias("total"),
@@ -51,7 +55,7 @@ def _land(documents: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
             attr.alias("channel_attr"), _filled("stage").alias("stage"), _filled("firstName").alias("first_name"),
             _filled("lastName").alias("last_name"), blank_null(F.col("dispatchedDate")).alias("dispatched_date"),
             blank_null(F.col("estimatedDeliveryDate")).alias("delivery_date")]
-    heads = latest_by_key(dated.select(*shared, *extra), ["id"], ["modified_date"])
+    heads = dated.select(*shared, *extra)
     key = "order_id" if kind == "sales" else "credit_note_id"
     lines = dated.select(F.col("id").alias(key), "created_date", F.explode("lineItems").alias("li")).select(
         key, "created_date", F.col("li.parentId").alias("parent_id"), "li.code", "li.name", "li.qty",

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tallybook.functions import calendar
 from tallybook.functions.fixed import MARKET_CURRENCY
-from tallybook.operators.maintain import first_by_key, latest_by_key
+from tallybook.operators.maintain import arrival, first_by_key, newest_documents
 from tallybook.sources.parse import any_time, blank_null, number, whole
 
 ORDER_SCHEMA = (
-    "id long, number string, status string, date_created string, total string, currency string,"
+    "id long, number string, status string, date_created string, date_modified string, total string, currency string,"
     " line_items array<struct<sku string, name string, quantity string, total string>>"
 )
 
@@ -26,7 +26,10 @@ def land_orders(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(orders, lines) of documents tagged with their market.
 
     The local date is cut from the store's own clock text, never converted.
+    An order delivered again replaces its header and all its lines: the copy
+    modified last counts, then the one that arrived last.
     """
+    documents = newest_documents(documents, "id", [F.coalesce("date_modified", "date_created"), arrival(documents)])
     heads = documents.select(
         "id", "market",
         F.coalesce(F.nullif("number", F.lit("")), F.col("id").cast("string")).alias("number"),
@@ -37,7 +40,7 @@ def land_orders(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.nullif("currency", F.lit("")), market_currency(F.col("market"))).alias("currency"),
         "line_items",
     )
-    orders = latest_by_key(heads.drop("line_items"), ["id"], ["date_created"])
+    orders = heads.drop("line_items")
     lines = heads.select(F.col("id").alias("order_id"), "market", "local_date", F.explode("line_items").alias("li")).select(
         "order_id", "market", F.nullif("li.sku", F.lit("")).alias("sku"), F.nullif("li.name", F.lit("")).alias("name"),
         whole(F.col("li.quantity")).alias("quantity"), number(F.col("li.total")).alias("total"), "local_date")

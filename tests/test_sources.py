@@ -27,6 +27,19 @@ def test_store_documents(spark, tmp_path):
     assert lines.filter("sku IS NULL").first()["quantity"] == 2
 
 
+def test_store_order_delivered_again_replaces_its_lines(spark):
+    def doc(status, modified, *quantities):
+        items = [{"sku": "A", "quantity": q, "total": "1"} for q in quantities]
+        return json.dumps({"id": 1, "status": status, "date_created": "2026-01-01T00:00:00", "date_modified": modified, "line_items": items})
+
+    first, later, tied = doc("refunded", "2026-01-01T00:00:00", 2, 5), doc("completed", "2026-01-02T00:00:00", 1), doc("on-hold", "2026-01-02T00:00:00", 7)
+    for texts, status, quantities in (((first, later, first), "completed", [1]), ((later, tied), "on-hold", [7]), ((first, first), "refunded", [2, 5])):
+        raw = parse.from_text(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "value string, arrival int"), store.ORDER_SCHEMA)
+        orders, lines = store.land_orders(raw.withColumn("market", F.lit("CA")))
+        assert [r["status"] for r in orders.collect()] == [status]
+        assert sorted(r["quantity"] for r in lines.collect()) == quantities
+
+
 def test_store_csv_quoted_newlines(spark, tmp_path):
     (tmp_path / "x.csv").write_text(
         "Order ID,Order Number,Status,Order Created At,Currency,Total,Line Item Sku,Line Item Name,Line Item Quantity,Line Item Total,Line Item Meta\n"
