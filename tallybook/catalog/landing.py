@@ -1,7 +1,7 @@
 """Landing jobs, fed with documents and files Spark makes from the tables.
 
-A document carries a whole order with its lines, and some are delivered again.
-No table's lines are ever collected into one array.
+A document carries a whole order with all its lines, and some are delivered again.
+A document's lines are put together by parts, so a huge order is spread until its last step.
 """
 
 from __future__ import annotations
@@ -31,32 +31,50 @@ def s(col):
     return F.col(col).cast("string")
 
 
+PARTS = 16
+
+
+def by_document(lines, *keys):
+    """keys, lines: all lines of a document in one array, first by (document, part), then by document."""
+    rest = [c for c in lines.columns if c not in keys]
+    part = F.pmod(F.xxhash64(*lines.columns), F.lit(PARTS)).alias("part")
+    parts = lines.groupBy(*keys, part).agg(F.collect_list(F.struct(*rest)).alias("some"))
+    return parts.groupBy(*keys).agg(F.flatten(F.collect_list("some")).alias("lines"))
+
+
+def deliveries(docs, variants):
+    """A row for each variant (condition, fields) a document is delivered in, as column `d`."""
+    each = [F.when(which, F.struct(*[c.alias(n) for n, c in fields.items()])) for which, fields in variants]
+    return docs.withColumn("d", F.explode(F.array_compact(F.array(*each))))
+
+
 # --- store -------------------------------------------------------------------
 
 def store_documents(v):
-    """Deliveries of every order: all once, some again changed, late, on a tied clock, or as an exact copy."""
-    o, k = v("f_store_orders"), F.col("id")
+    """Deliveries of every order with its lines and gifts: all once, some again changed, late, on a tied clock, or as an exact copy."""
+    items = by_document(v("f_store_items").select("order_id", "sku", "name", "quantity", s("total").alias("total")), "order_id")
+    o, k = v("f_store_orders").join(items, F.col("id") == F.col("order_id"), "left"), F.col("id")
 
     def delivery(which, arrival, status, modified, more, gifts):
-        line = F.struct(
-            F.concat(F.lit("S-"), (k % 50).cast("string")).alias("sku"), F.lit("Tin").alias("name"),
-            F.concat((k % 6 + 1 + more).cast("string"), F.lit(".0")).alias("quantity"), s("total").alias("total"))
-        gift = F.struct(F.lit(None).cast("string").alias("sku"), F.lit("Gift").alias("name"), F.lit("1").alias("quantity"), F.lit(None).cast("string").alias("total"))
-        return o.filter(which).select(
-            "market", F.lit(arrival).alias("arrival"), "id", F.when(k % 7 != 0, F.col("number")).alias("number"), status.alias("status"),
-            "date_created", modified.alias("date_modified"), s("total").alias("total"), F.when(k % 5 != 0, F.col("currency")).alias("currency"),
-            F.array(line, *[gift] * gifts).alias("line_items"))
+        return which, {"arrival": F.lit(arrival), "status": status, "modified": modified, "more": F.lit(more), "gifts": F.lit(gifts)}
 
     none, created = F.lit(None).cast("string"), F.col("date_created")
     known = F.when(k % 11 != 0, F.col("status"))
-    docs = delivery(k >= 0, 0, known, created, 0, 1)
-    for again in (
+    docs = deliveries(o, (
+        delivery(k >= 0, 0, known, created, 0, 1),
         delivery(k % 4 == 0, 1, F.lit("refunded"), F.concat(F.substring("date_created", 1, 10), F.lit("T23:59:59")), 10, 0),
         delivery(k % 8 == 0, 2, F.lit("zzz"), none, 20, 1),
         delivery(k % 10 == 5, 3, F.lit("on-hold"), created, 30, 0),
         delivery(k % 6 == 0, 0, known, created, 0, 1),
-    ):
-        docs = docs.unionByName(again)
+    ))
+    gift = F.struct(none.alias("sku"), F.lit("Gift").alias("name"), F.lit("1").alias("quantity"), none.alias("total"))
+    line = F.transform(F.coalesce("lines", F.array()), lambda li: F.struct(
+        li["sku"].alias("sku"), li["name"].alias("name"), F.concat((li["quantity"] + F.col("d.more")).cast("string"), F.lit(".0")).alias("quantity"),
+        li["total"].alias("total")))
+    docs = docs.select(
+        "market", "d.arrival", "id", F.when(k % 7 != 0, F.col("number")).alias("number"), "d.status",
+        "date_created", F.col("d.modified").alias("date_modified"), s("total").alias("total"), F.when(k % 5 != 0, F.col("currency")).alias("currency"),
+        F.concat(line, F.array_repeat(gift, F.col("d.gifts"))).alias("line_items"))
     return from_text(as_text(docs, ("market", "arrival")), store.ORDER_SCHEMA)
 
 
@@ -64,7 +82,7 @@ def store_documents(v):
 WITH w AS (SELECT *, CASE WHEN id % 4 = 0 THEN 10 WHEN id % 10 = 5 THEN 30 ELSE 0 END AS more,
  CASE WHEN id % 4 = 0 THEN 'refunded' WHEN id % 10 = 5 THEN 'on-hold' WHEN id % 11 = 0 THEN 'unknown' ELSE status END AS last_status FROM f_store_orders)
 SELECT 'order' AS kind, id AS order_id, market, number, last_status AS status, CAST(local_date AS VARCHAR) AS local_date, CAST(total AS DOUBLE) AS total, currency AS detail, CAST(NULL AS BIGINT) AS quantity FROM w
-UNION ALL SELECT 'line', id, market, NULL, NULL, CAST(local_date AS VARCHAR), CAST(total AS DOUBLE), 'S-' || id % 50, id % 6 + 1 + more FROM w
+UNION ALL SELECT 'line', w.id, w.market, NULL, NULL, CAST(w.local_date AS VARCHAR), CAST(i.total AS DOUBLE), i.sku, i.quantity + w.more FROM w JOIN f_store_items i ON i.order_id = w.id
 UNION ALL SELECT 'line', id, market, NULL, NULL, CAST(local_date AS VARCHAR), 0, NULL, 1 FROM w WHERE more = 0""")
 def land_store_orders(v):
     orders, lines = store.land_orders(store_documents(v))
@@ -273,38 +291,45 @@ _BOTH_GONE = "id % 899 = 0"
 _ERP_AGAIN = "2030-01-01T00:00:00Z"
 
 
+def erp_order_documents(v):
+    """Deliveries of every order with its lines and fees: all once, some again changed, late, or as an exact copy."""
+    items = by_document(v("f_erp_lines").drop("line_no"), "order_id")
+    o, k = v("f_erp_orders").join(items, F.col("id") == F.col("order_id"), "left"), F.col("id")
+
+    def delivery(which, arrival, modified, more, fees):
+        return which, {"arrival": F.lit(arrival), "modified": modified, "more": F.lit(more), "fees": F.lit(fees)}
+
+    usual = F.when(k % 31 != 0, F.col("modified_date"))
+    docs = deliveries(o, (
+        delivery(k >= 0, 0, usual, 0, 1), delivery(k % 4 == 0, 1, F.lit(_ERP_AGAIN), 10, 0),
+        delivery(k % 8 == 0, 2, F.lit("1990-01-01T00:00:00Z"), 20, 1), delivery(k % 6 == 0, 0, usual, 0, 1),
+    ))
+
+    def line(parent, code, name, qty, uom, price, total):
+        return F.struct(
+            parent.alias("parentId"), code.alias("code"), name.alias("name"), qty.cast("decimal(18,4)").alias("qty"), uom.cast("decimal(5,1)").alias("uomSize"),
+            price.cast("decimal(18,6)").alias("unitPrice"), total.cast("decimal(18,2)").alias("total"))
+
+    fee = line(F.lit(0).cast("long"), F.lit("196"), F.lit("Tin"), F.lit(48), F.lit(48), F.lit(1), F.lit(5))
+    real = F.transform(F.coalesce("lines", F.array()), lambda li: line(
+        li["parent_id"], li["code"], li["name"], li["qty"] + F.col("d.more"), li["uom_size"], li["unit_price"], li["total"]))
+    docs = docs.select(
+        "d.arrival", "id", "reference", "company", "channel", F.when(k % 37 != 0, F.col("status")).alias("status"),
+        F.when(k % 29 != 0, F.col("created_date")).alias("createdDate"), F.col("d.modified").alias("modifiedDate"),
+        F.concat(real, F.array_repeat(fee, F.col("d.fees"))).alias("lineItems"))
+    return from_text(as_text(docs, ("arrival",)), erp.ORDER_SCHEMA)
+
+
 @query("land_erp_orders", f"""
-WITH w AS (SELECT *, CASE id % 4 WHEN 0 THEN 'AU-CTN-CL-VLB-48' WHEN 1 THEN 'WC-AU-LL-BCF-35-NL' WHEN 2 THEN 'AU-SRT-EF-NPO-35x12' ELSE ' AU-OG-NPO-35 ' END AS code,
-  id % 9 + 1 + CASE WHEN id % 4 = 0 THEN 10 ELSE 0 END AS qty, CASE WHEN id % 29 = 0 THEN CASE WHEN id % 4 = 0 THEN '{_ERP_AGAIN}' ELSE modified_date END ELSE created_date END AS made,
+WITH w AS (SELECT *, CASE WHEN id % 4 = 0 THEN 10 ELSE 0 END AS more, CASE WHEN id % 29 = 0 THEN CASE WHEN id % 4 = 0 THEN '{_ERP_AGAIN}' ELSE modified_date END ELSE created_date END AS made,
   CASE WHEN id % 4 = 0 THEN '{_ERP_AGAIN}' WHEN id % 31 = 0 THEN created_date ELSE modified_date END AS changed FROM s_erp_orders WHERE NOT {_BOTH_GONE} OR id % 4 = 0)
 SELECT 'order' AS kind, id, reference AS text, nullif(company, '') AS company, attr AS channel_attr, CASE WHEN id % 37 = 0 THEN 'UNKNOWN' ELSE status END AS status, made AS created_date, changed AS modified_date,
  CAST(NULL AS DOUBLE) AS tins, CAST(NULL AS DOUBLE) AS total FROM w
-UNION ALL SELECT 'line', id, {sql_base('code')}, NULL, NULL, NULL, made, NULL, CAST(qty * {sql_pack('code')} AS DOUBLE), CAST(CAST(qty * CAST(9.0909 AS DECIMAL(18,6)) AS DECIMAL(18,2)) AS DOUBLE) FROM w
+UNION ALL SELECT 'line', w.id, {sql_base('i.code')}, NULL, NULL, NULL, made, NULL, CAST(CASE WHEN i.uom_size > 1 THEN i.qty + more ELSE (i.qty + more) * {sql_pack('i.code')} END AS DOUBLE),
+ CAST(CAST(coalesce(i.total, (i.qty + more) * i.unit_price) AS DECIMAL(18,2)) AS DOUBLE) FROM w JOIN f_erp_lines i ON i.order_id = w.id
 UNION ALL SELECT 'line', id, '196', NULL, NULL, NULL, made, NULL, 48, 5 FROM w WHERE id % 4 <> 0""")
 def land_erp_orders(v):
-    k = F.col("id")
-    code = F.element_at(F.array(*[F.lit(c) for c in ("AU-CTN-CL-VLB-48", "WC-AU-LL-BCF-35-NL", "AU-SRT-EF-NPO-35x12", " AU-OG-NPO-35 ")]), (k % 4 + 1).cast("int"))
-
-    def delivery(which, arrival, modified, more, fees):
-        def line(c, qty, uom, price, total):
-            return F.struct(
-                F.lit(0).alias("parentId"), c.alias("code"), F.lit("Tin").alias("name"), qty.alias("qty"), F.lit(uom).cast("decimal(4,1)").alias("uomSize"),
-                F.lit(price).cast("decimal(18,6)").alias("unitPrice"), F.lit(total).cast("decimal(18,2)").alias("total"))
-
-        fee = line(F.lit("196"), F.lit(48).cast("long"), 48, 1, 5)
-        return v("f_erp_orders").filter(which).select(
-            F.lit(arrival).alias("arrival"), "id", "reference", "company", "channel", F.when(k % 37 != 0, F.col("status")).alias("status"),
-            F.when(k % 29 != 0, F.col("created_date")).alias("createdDate"), modified.alias("modifiedDate"),
-            F.array(line(code, k % 9 + 1 + more, 1, "9.0909", None), *[fee] * fees).alias("lineItems"))
-
-    usual = F.when(k % 31 != 0, F.col("modified_date"))
-    docs = delivery(k >= 0, 0, usual, 0, 1)
-    for again in (
-        delivery(k % 4 == 0, 1, F.lit(_ERP_AGAIN), 10, 0), delivery(k % 8 == 0, 2, F.lit("1990-01-01T00:00:00Z"), 20, 1), delivery(k % 6 == 0, 0, usual, 0, 1),
-    ):
-        docs = docs.unionByName(again)
-    docs = as_text(docs, ("arrival",))
-    heads, lines = erp.land_orders(from_text(docs, erp.ORDER_SCHEMA))
+    heads, lines = erp.land_orders(erp_order_documents(v))
     none = F.lit(None)
     top = heads.select(
         F.lit("order").alias("kind"), "id", F.col("reference").alias("text"), "company", "channel_attr", "status", "created_date", "modified_date",
@@ -316,16 +341,15 @@ def land_erp_orders(v):
 
 
 @query("land_erp_credit_notes", f"""
-WITH n AS (SELECT credit_note_id, status, max(code) AS code, max(uom_size) AS uom_size, sum(qty) AS qty, sum(total) AS total FROM f_credit_lines GROUP BY 1, 2)
-SELECT 'note' AS kind, credit_note_id AS id, CAST(NULL AS VARCHAR) AS base_sku, status, CAST(NULL AS DOUBLE) AS tins, CAST(NULL AS DOUBLE) AS revenue_signed FROM n
-UNION ALL SELECT 'line', credit_note_id, {sql_base('code')}, NULL, CAST(CASE WHEN {sql_regional('code')} THEN -abs(CASE WHEN uom_size > 1 THEN qty ELSE qty * {sql_pack('code')} END) ELSE 0 END AS DOUBLE), CAST(-abs(total) AS DOUBLE) FROM n""")
+SELECT 'note' AS kind, credit_note_id AS id, CAST(NULL AS VARCHAR) AS base_sku, any_value(status) AS status, CAST(NULL AS DOUBLE) AS tins, CAST(NULL AS DOUBLE) AS revenue_signed FROM f_credit_lines GROUP BY 2
+UNION ALL SELECT 'line', credit_note_id, base_sku, NULL, CAST(tins AS DOUBLE), CAST(revenue AS DOUBLE) FROM s_credit_lines""")
 def land_erp_credit_notes(v):
-    notes = v("f_credit_lines").groupBy("credit_note_id", "status", "created_date").agg(
-        F.max("code").alias("code"), F.max("uom_size").alias("uom_size"), F.sum("qty").alias("qty"), F.sum("total").alias("total"))
-    line = F.struct(F.lit(0).alias("parentId"), "code", "qty", F.col("uom_size").alias("uomSize"), "total")
+    notes = by_document(v("f_credit_lines"), "credit_note_id", "status", "created_date")
+    line = F.transform("lines", lambda li: F.struct(
+        li["parent_id"].alias("parentId"), li["code"].alias("code"), li["qty"].alias("qty"), li["uom_size"].alias("uomSize"), li["total"].alias("total")))
     docs = notes.select(
         F.col("credit_note_id").alias("id"), "status", F.lit(None).cast("string").alias("createdDate"), F.col("created_date").alias("modifiedDate"),
-        F.array(line).alias("lineItems"))
+        line.alias("lineItems"))
     docs = docs.unionByName(docs.filter("id % 5 = 0"))
     heads, lines = erp.land_credit_notes(from_text(as_text(docs), erp.CREDIT_SCHEMA))
     none = F.lit(None)
