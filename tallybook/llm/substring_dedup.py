@@ -1,7 +1,7 @@
 """Repeated passages, found by hashes of sliding sentence spans and cut from all documents but the first.
 
-Every run of RUN consecutive sentences is hashed, and single sentences that are long.  The
-hashes meet in one join over all documents; what goes through it is a hash and a document id.
+From every sentence the shortest run that has RUN sentences and RUN_WORDS words is hashed, and
+single sentences that are long.  The hashes meet in one join over all documents; what goes through it is a hash and a document id.
 Repeats inside one document are seen in its own task.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from .common import stored, table
 from .words import RUN_BASE, RUN_BASE_BACK, mix, span_hashes, word_hashes
 
-#: Sentences in a run, the words it needs at least, and the words that make a sentence a span by itself.
+#: Sentences and words a run needs at least, and the words that make a sentence a span by itself.
 RUN, RUN_WORDS, LONE_WORDS = 2, 10, 20
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -43,23 +43,15 @@ def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def spans(n_words: np.ndarray, hashes: np.ndarray, run: int, run_words: int, lone_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First sentence, number of sentences and hash of every span."""
-    first, size, out = [], [], []
-    n = len(hashes) - run + 1
-    if n > 0:
-        total = np.concatenate(([0], np.cumsum(n_words)))
-        at = np.flatnonzero(total[run:] - total[:-run] >= run_words)
-        h = np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(run):
-                h = h * RUN_BASE + hashes[at + j]
-            out.append(mix(h + np.uint64(run)))
-        first.append(at)
-        size.append(np.full(len(at), run))
-    at = np.flatnonzero(n_words >= lone_words)
-    first.append(at)
-    size.append(np.ones(len(at), np.int64))
-    out.append(mix(hashes[at] + np.uint64(1)))
-    return np.concatenate(first), np.concatenate(size), np.concatenate(out)
+    total = np.concatenate(([0], np.cumsum(n_words)))
+    begin = np.arange(len(hashes))
+    end = np.maximum(begin + run, np.searchsorted(total, total[:-1] + run_words))
+    at = np.flatnonzero(end <= len(hashes))
+    lone = np.flatnonzero(n_words >= lone_words)
+    with np.errstate(over="ignore"):
+        runs = span_hashes(hashes, at, end[at], RUN_BASE, RUN_BASE_BACK)
+        out = np.concatenate((runs, mix(hashes[lone] + np.uint64(1))))
+    return np.concatenate((at, lone)), np.concatenate((end[at] - at, np.ones(len(lone), np.int64))), out
 
 
 def span_rows(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
@@ -160,11 +152,14 @@ sent AS (SELECT n, doc_id, s, count(*) AS n_words, string_agg(item, '' ORDER BY
          string_agg(translate(rtrim(item, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY pos) AS key
          FROM numbered GROUP BY n, doc_id, s),
-pairs AS (SELECT *, lead(key) OVER w AS key2, lead(n_words) OVER w AS words2, lead(s) OVER w AS s2 FROM sent WINDOW w AS (PARTITION BY n ORDER BY s)),
-spans AS (SELECT n, doc_id, s, s2 AS last_s, key || ' / ' || key2 AS span FROM pairs WHERE n_words + words2 >= {RUN_WORDS}
+upto AS (SELECT *, sum(n_words) OVER (PARTITION BY n ORDER BY s) AS upto FROM sent),
+runs AS (SELECT a.n, a.doc_id, a.s, min(b.s) AS last_s FROM upto a CROSS JOIN range({RUN} - 1, {RUN} + {RUN_WORDS}) r(more) JOIN upto b ON b.n = a.n AND b.s = a.s + r.more
+         WHERE b.upto - a.upto + a.n_words >= {RUN_WORDS} GROUP BY 1, 2, 3),
+run_at AS (SELECT *, unnest(range(s::bigint, last_s::bigint + 1)) AS at FROM runs),
+spans AS (SELECT r.n, r.doc_id, r.s, r.last_s, string_agg(t.key, ' / ' ORDER BY t.s) AS span FROM run_at r JOIN sent t ON t.n = r.n AND t.s = r.at GROUP BY 1, 2, 3, 4
           UNION ALL SELECT n, doc_id, s, s, key FROM sent WHERE n_words >= {LONE_WORDS}),
 placed AS (SELECT *, min(doc_id) OVER (PARTITION BY span) AS first_doc, min(s) OVER (PARTITION BY span, n) AS first_s FROM spans),
-gone AS (SELECT DISTINCT n, unnest([s, last_s]) AS s FROM placed WHERE doc_id > first_doc OR s > first_s),
+gone AS (SELECT DISTINCT n, unnest(range(s::bigint, last_s::bigint + 1)) AS s FROM placed WHERE doc_id > first_doc OR s > first_s),
 kept AS (SELECT n, count(*) AS n_sentences, count(g.s) AS n_removed, string_agg(piece, '' ORDER BY t.s) FILTER (WHERE g.s IS NULL) AS rest
          FROM sent t LEFT JOIN gone g USING (n, s) GROUP BY n)
 SELECT doc_id, CASE WHEN k.n IS NULL THEN text ELSE regexp_extract(text, '^[{_WS}]*') || coalesce(rest, '') END AS text,

@@ -129,6 +129,16 @@ def test_spans(spark):
     assert [got[i]["text"] for i in (3, 4, 5)] == texts[3:]
 
 
+def test_substring_dedup_of_short_sentences(spark):
+    shouted = " ".join(f"{prose(i, 1 + i % 4)}!!" for i in range(40))
+    texts = [shouted, shouted.upper(), f"Before. {shouted} {prose(99, 12)}.", "One! Two! Three!", "One! Two! Three!"]
+    got = {r["doc_id"]: r for r in substring_dedup.drop_repeated_spans(frame(spark, texts)).collect()}
+    assert got[0]["text"] == shouted and got[0]["n_removed"] == 0
+    assert got[1]["text"] == "" and got[1]["n_removed"] == 40
+    assert got[2]["text"] == f"Before. {prose(99, 12)}." and got[2]["n_removed"] == 40
+    assert got[3]["n_removed"] == got[4]["n_removed"] == 0
+
+
 def test_bpe(spark):
     P = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
