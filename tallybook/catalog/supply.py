@@ -164,7 +164,8 @@ def supplier_lead_times(v):
 
 
 @query("incoming_by_sku", """
-SELECT base, CAST(qty AS BIGINT) AS qty, CAST(pos AS BIGINT) AS pos, CAST(next_date AS VARCHAR) AS next_date, next_ref, refs FROM s_incoming_sku""")
+SELECT base, i.reference, CAST(i.expected_date AS VARCHAR) AS expected_date, CAST(i.qty AS BIGINT) AS po_qty, CAST(k.qty AS BIGINT) AS qty, CAST(pos AS BIGINT) AS pos,
+ CAST(next_date AS VARCHAR) AS next_date, next_ref FROM s_incoming i JOIN s_incoming_sku k USING (base)""")
 def incoming_by_sku(v):
     return purchasing.incoming_by_sku(purchasing.incoming_units(v("f_po_lines")))
 
@@ -237,7 +238,7 @@ SELECT sku, st AS current_stock, CAST(loose AS BIGINT) AS stock_loose_tins, CAST
  floor(dl * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS days_left, floor(rate * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS run_rate_per_day, CAST(date_diff('day', DATE '2001-06-30', next_date) AS BIGINT) AS next_po_days FROM c""")
 def stock_risk(v):
     inv = stock_inventory(v)
-    incoming = purchasing.incoming_by_sku(purchasing.incoming_units(v("f_po_lines")))
+    incoming = purchasing.incoming_shown(purchasing.incoming_units(v("f_po_lines")))
     rows = risk.stock_risk(inv, inventory.base_stock(inv), incoming, _rates(v), inventory.empty_tins(stock(v)), AS_OF)
     return risk.risk_sorted(rows)
 

@@ -139,15 +139,24 @@ def incoming_units(lines: DataFrame) -> DataFrame:
     return per_po.join(opened, "reference")
 
 
-def incoming_by_sku(units: DataFrame, listed: int = 3) -> DataFrame:
-    """Per base code: units, PO count, the earliest dated PO, and the first few refs."""
+def _incoming_totals(units: DataFrame) -> DataFrame:
+    dated = F.when(F.col("expected_date").isNotNull(), F.struct("expected_date", "reference"))
+    total = units.groupBy("base").agg(F.sum("qty").alias("qty"), F.count("*").alias("pos"), F.min(dated).alias("next"))
+    return total.select("base", "qty", "pos", F.col("next.expected_date").alias("next_date"), F.col("next.reference").alias("next_ref"))
+
+
+def incoming_by_sku(units: DataFrame) -> DataFrame:
+    """Every open PO of a base code with its date and units, next to the code's units, PO count and earliest dated PO."""
+    per_po = units.select("base", "reference", "expected_date", F.col("qty").alias("po_qty"))
+    return per_po.join(_incoming_totals(units), "base")
+
+
+def incoming_shown(units: DataFrame, listed: int = 3) -> DataFrame:
+    """One row per base code, as the risk report shows it: units, PO count, the earliest dated PO, and the first few refs."""
     order = Window.partitionBy("base").orderBy(F.col("reference").desc())
     shown = units.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= listed).groupBy("base").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "reference"))), lambda s: s["reference"]), ",").alias("refs"))
-    dated = F.when(F.col("expected_date").isNotNull(), F.struct("expected_date", "reference"))
-    total = units.groupBy("base").agg(F.sum("qty").alias("qty"), F.count("*").alias("pos"), F.min(dated).alias("next"))
-    return total.join(shown, "base").select(
-        "base", "qty", "pos", F.col("next.expected_date").alias("next_date"), F.col("next.reference").alias("next_ref"), "refs")
+    return _incoming_totals(units).join(shown, "base")
 
 
 def closure_profile(lines: DataFrame) -> DataFrame:
