@@ -26,10 +26,11 @@ from .common import stored, table
 #: Distinct hashes in a shard, about, and the size up to which all shards are broadcast.
 SHARD_KEYS = 1 << 16
 BROADCAST_BYTES = 64 << 20
+#: Distinct line hashes that are probed together, about, when they are sent to the shards.
+ASKED_KEYS = 1 << 18
 #: Bits a key of a level of the perfect hash.
 GAMMA = 2.0
 BLANK = b" \t\n\v\f\r"
-LINE_SCHEMA = "doc_id long, h1 long, h2 long"
 SHARD_SCHEMA = "shard int, index binary"
 
 
@@ -125,17 +126,20 @@ class PerfectHash:
 # --- the passes over documents -----------------------------------------------------------
 
 
-def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, h1, h2 of each document row's distinct long lines."""
+def line_hashes(docs: DataFrame, min_chars: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The whole-number columns named as keys, h1, h2 of each document row's distinct long lines."""
+    names = [*keys, "h1", "h2"]
 
     def rows(batches):
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
-            out = [(i, *hash_pair(k)) for i, t in zip(ids, texts) for k in _long_keys(t.as_py(), min_chars)]
+            ids = zip(*(batch.column(i).to_pylist() for i in range(len(keys))))
+            texts = batch.column(len(keys)).cast(pa.binary())
+            out = [(*i, *hash_pair(k)) for i, t in zip(ids, texts) for k in _long_keys(t.as_py(), min_chars)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, LINE_SCHEMA)
+    read = docs.select(*(F.col(k).cast("long") for k in keys), F.col("text").cast("string"))
+    return read.mapInArrow(rows, ", ".join(f"{n} long" for n in names))
 
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
@@ -237,10 +241,22 @@ def _shards_of(shards) -> dict[int, PerfectHash]:
 def _probe_shuffled(docs: DataFrame, shards: DataFrame, n_shards: int, min_chars: int) -> DataFrame:
     """docs with the hashes of its lines to drop, found by sending hashes to the shards.
 
-    Equal hashes of a task are probed once: a hot line is one row a salt, whatever its documents.
+    Equal hashes are probed once, whatever their documents.  A shard's hashes are dealt to salts, each with a
+    copy of the shard, so that a group holds about ASKED_KEYS whatever the corpus.  A row without a doc_id is
+    known by its text; no document keeps its lines.
     """
-    lines = line_hashes(docs, min_chars).withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
-    asked = lines.select("shard", "h1", "h2").distinct()
+    known, text = F.col("doc_id").isNotNull(), F.col("text").cast("string")
+    keys = {
+        "row_known": known.cast("long"),
+        "row_1": F.when(known, F.col("doc_id").cast("long")).otherwise(F.xxhash64(text)),
+        "row_2": F.when(known, F.lit(0).cast("long")).otherwise(F.xxhash64(text, F.lit(1))),
+    }
+    rows = docs.withColumns(keys)
+    lines = line_hashes(rows, min_chars, tuple(keys)).withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("int"))
+    asked = stored(lines.select("shard", "h1", "h2").distinct(), "asked-lines")
+    n_salts = max(1, -(-asked.count() // (n_shards * ASKED_KEYS)))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), F.lit(n_salts)).cast("int"))
+    shards = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
 
     def probe(keys: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         if not len(shard) or not len(keys):
@@ -249,11 +265,10 @@ def _probe_shuffled(docs: DataFrame, shards: DataFrame, n_shards: int, min_chars
         found, _, keeper = PerfectHash.from_bytes(shard["index"].iloc[0]).probe(a, b)
         return pd.DataFrame({"h1": a[found], "h2": b[found], "keeper": keeper[found]})
 
-    hits = asked.groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(probe, "h1 long, h2 long, keeper long")
-    drops = lines.join(hits, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    by_doc = drops.distinct().groupBy("doc_id").agg(F.collect_list("h1").alias("drop_h1"), F.collect_list("h2").alias("drop_h2"))
-    known = docs.join(by_doc.where("doc_id is not null"), "doc_id", "left").select(*docs.columns, "drop_h1", "drop_h2")
-    return known
+    hits = asked.groupBy("shard", "salt").cogroup(shards.groupBy("shard", "salt")).applyInPandas(probe, "h1 long, h2 long, keeper long")
+    drops = lines.join(hits, ["h1", "h2"]).where((F.col("row_known") == 0) | (F.col("row_1") != F.col("keeper")))
+    by_row = drops.select(*keys, "h1", "h2").distinct().groupBy(*keys).agg(F.collect_list("h1").alias("drop_h1"), F.collect_list("h2").alias("drop_h2"))
+    return rows.join(by_row, [*keys], "left").select(*docs.columns, "drop_h1", "drop_h2")
 
 
 def _find_listed(min_chars: int):
@@ -277,8 +292,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     least min_chars code points that is found in at least min_docs documents stays only in the
     largest doc_id that holds it.  A null text is one empty line and stays null; a text whose lines all
     go becomes empty.  Rows that repeat a doc_id count as one document and are cut alike; a row
-    without a doc_id is no document: it counts for nothing and loses repeated lines on the
-    broadcast path and none on the other.  All other columns are carried along,
+    without a doc_id is no document: it counts for nothing and loses all repeated lines.  All other columns are carried along,
     but for those named like the ones added.
     """
     spark = docs.sparkSession

@@ -110,6 +110,19 @@ def test_lines(spark, room):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("room", [1 << 20, 0])
+def test_lines_of_rows_without_an_id(spark, room, monkeypatch):
+    monkeypatch.setattr(line_dedup, "ASKED_KEYS", 2)
+    line = "A line that many documents hold"
+    own = [f"a line of one row alone, number {i}" for i in range(12)]
+    rows = [(i, f"{line}\n{own[i]}") for i in range(10)] + [(None, f"{line}\n{own[10]}\n{line.upper()}"), (None, own[11]), (None, None), (None, line)]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_bytes=room).collect()
+    assert sorted((r["text"], r["n_dropped"]) for r in got if r["doc_id"] is None and r["text"] is not None) == [("", 1), (own[10], 2), (own[11], 0)]
+    assert [(r["text"], r["n_dropped"]) for r in sorted((r for r in got if r["doc_id"] is not None), key=lambda r: r["doc_id"])] == [
+        *((o, 1) for o in own[:9]), (f"{line}\n{own[9]}", 0)]
+    assert len(got) == len(rows)
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(1)
     a, b = rng.integers(-(2**62), 2**62, (2, 5000))
