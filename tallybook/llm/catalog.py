@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
 from .decontaminate import op5_decontaminate
+from .importance import OP11_SQL, op11_importance
 from .jaccard_join import OP2_SQL, op2_jaccard_join
 from .line_dedup import OP3_SQL, op3_line_dedup
+from .merkle import OP13_SQL, op13_merkle
 from .nearest import op6_nearest
 from .pii import op7_pii
 from .quality import op4_quality
@@ -24,10 +26,14 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_importance": op11_importance,
+    "op13_merkle": op13_merkle,
 }
 ORACLE = {
     "op1_substring_dedup": OP1_SQL,
     "op2_jaccard_join": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op8_url_filters": OP8_SQL,
+    "op11_importance": OP11_SQL,
+    "op13_merkle": OP13_SQL,
 }

@@ -298,7 +298,7 @@ def test_sql(spark, sf_dir):
     from tallybook.llm.catalog import ORACLE, QUERIES
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     for key, sql in ORACLE.items():
         cursor = con.execute(sql)
