@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .chat_format import OP12_SQL, op12_chat
 from .decontaminate import op5_decontaminate
 from .importance import OP11_SQL, op11_importance
 from .jaccard_join import OP2_SQL, op2_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_importance": op11_importance,
+    "op12_chat": op12_chat,
     "op13_merkle": op13_merkle,
 }
 ORACLE = {
@@ -35,5 +37,6 @@ ORACLE = {
     "op3_line_dedup": OP3_SQL,
     "op8_url_filters": OP8_SQL,
     "op11_importance": OP11_SQL,
+    "op12_chat": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }

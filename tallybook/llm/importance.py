@@ -40,11 +40,15 @@ def buckets(word: Column, longest: int, size: int) -> Column:
     def hashed(run: Column) -> Column:
         return F.pmod(F.crc32(run.cast("binary")), F.lit(size)).cast("int")
 
-    runs = [F.transform(word, hashed)]
-    for n in range(2, longest + 1):
-        starts = F.when(F.size(word) >= n, F.sequence(F.lit(1), F.size(word) - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: hashed(F.array_join(F.slice(word, i, n), " "))))
-    return runs[0] if longest == 1 else F.concat(*runs)
+    def runs_of(word: Column, n: int) -> Column:
+        starts = F.slice(word, F.lit(1), F.greatest(F.size(word) - n + 1, F.lit(0)))
+        return F.transform(starts, lambda w, i: hashed(F.concat_ws(" ", w, *[F.get(word, i + k) for k in range(1, n)])))
+
+    def all_runs(word: Column) -> Column:
+        return F.concat(F.transform(word, hashed), *[runs_of(word, n) for n in range(2, longest + 1)])
+
+    # The words are named, or they would be looked for again at each run.
+    return F.transform(word, hashed) if longest == 1 else F.element_at(F.transform(F.array(word), all_runs), 1)
 
 
 def gains(docs: DataFrame, target: DataFrame, longest: int = LONGEST_RUN, size: int = BUCKETS) -> list[int]:
@@ -62,8 +66,8 @@ def gains(docs: DataFrame, target: DataFrame, longest: int = LONGEST_RUN, size:
     rows = stored(both, "bucket-counts")
     all_s, all_t = rows.agg(F.sum("s"), F.sum("t")).first()
     x = F.log(
-        (F.col("t") + 1).cast("double") * F.lit(float(all_t + size)).cast("double")
-        / ((F.col("s") + 1).cast("double") * F.lit(float(all_s + size)))
+        (F.col("t") + 1).cast("double") * F.lit(float(all_s + size))
+        / ((F.col("s") + 1).cast("double") * F.lit(float(all_t + size)))
     )
     return [r[0] for r in rows.orderBy("bucket").select(F.floor(STEPS * x)).collect()]
 
@@ -170,8 +174,8 @@ s_counts AS (SELECT bucket, count(*) AS s FROM doc_words JOIN coded USING (word)
 t_counts AS (SELECT bucket, count(*) AS t FROM target_words JOIN coded USING (word) GROUP BY 1),
 sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s_counts) AS big_s, (SELECT coalesce(sum(t), 0) FROM t_counts) AS big_t),
 gain AS (
-  SELECT bucket, floor({STEPS} * ln((coalesce(t, 0) + 1)::DOUBLE * (big_t + {BUCKETS})::DOUBLE
-         / ((coalesce(s, 0) + 1)::DOUBLE * (big_s + {BUCKETS})::DOUBLE)))::BIGINT AS g
+  SELECT bucket, floor({STEPS} * ln((coalesce(t, 0) + 1)::DOUBLE * (big_s + {BUCKETS})::DOUBLE
+         / ((coalesce(s, 0) + 1)::DOUBLE * (big_t + {BUCKETS})::DOUBLE)))::BIGINT AS g
   FROM s_counts FULL JOIN t_counts USING (bucket), sums),
 totals AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS total FROM doc_words JOIN coded USING (word) JOIN gain USING (bucket) GROUP BY 1),
 weights AS (
