@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.fixed import MILESTONES
 from tallybook.operators.incremental import milestone_ticks, sellouts
 from tallybook.operators.maintain import latest_by_key
-from tallybook.streaming.tables import read_batch, run_available, write_batch
+from tallybook.streaming.tables import late_rows, read_batch, run_available, write_batch
 
 
 def upsert_orders(stream: DataFrame, path: str, key: str = "id", order: str = "date_created") -> None:
@@ -72,6 +72,38 @@ def detect_milestones(stream: DataFrame, path: str, thresholds: tuple[int, ...]
     run_available(stream, handle, f"{path}/checkpoint")
 
 
+def detect_order_milestones(stream: DataFrame, path: str, thresholds: tuple[int, ...] = MILESTONES, grace_days: int = 1) -> int:
+    """Emit daily order-count milestones of distinct orders; returns the late rows, which are left to the re-sweep.
+
+    stream: market, local_date, id and more.  An order that is delivered again doesn't count again: ids are remembered as
+    keyed state until their day has ended and grace_days more have been seen, and then forgotten.  The
+    state is keyed by id within the day, so the orders of a hot day are spread over all state partitions.  Counts per
+    market and open day are a small table per batch.  Rows without an id or a date are no orders.
+    """
+    spark = stream.sparkSession
+    key = ["market", "local_date"]
+    days = stream.filter(F.col("id").isNotNull() & F.col("local_date").isNotNull()).select(
+        *key, "id", F.date_add("local_date", 1).cast("timestamp").alias("day_end"))
+    once = days.withWatermark("day_end", f"{grace_days} days").dropDuplicates([*key, "id", "day_end"])
+
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        state = read_batch(spark, f"{path}/state", batch_id - 1)
+        # Stored first, so that the remembered ids are gone through once a batch.
+        write_batch(rows.groupBy(*key).agg(F.count("*").alias("n")), f"{path}/new", batch_id)
+        new = read_batch(spark, f"{path}/new", batch_id)
+        if state is None:
+            state = new.limit(0)
+        now = state.unionByName(new).groupBy(*key).agg(F.sum("n").alias("n"))
+        ticks = state.withColumn("tick", F.lit(0)).unionByName(now.withColumn("tick", F.lit(1)))
+        write_batch(milestone_ticks(ticks, thresholds).select(*key, "prev", "n", "threshold"), f"{path}/events", batch_id)
+        # Days that the watermark has closed get no more orders.
+        newest = now.agg(F.max("local_date").alias("newest"))
+        open_days = now.join(F.broadcast(newest), F.col("local_date") >= F.date_sub("newest", grace_days)).drop("newest")
+        write_batch(open_days, f"{path}/state", batch_id)
+
+    return run_available(once, handle, f"{path}/checkpoint")
+
+
 def dedupe_pages(stream: DataFrame, key: str = "id", late: str = "1 day") -> DataFrame:
     """Drop repeats of an id across overlapping pages, first copy wins.
 
@@ -89,6 +121,19 @@ def hourly_counts(stream: DataFrame) -> DataFrame:
     )
 
 
+def append_available(stream: DataFrame, path: str) -> int:
+    """Append what everything in the source gives to path/rows; returns the rows that came after the watermark.
+
+    Rows are written once, whatever is retried.  A window is written when the watermark has passed its end.
+    """
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return late_rows(query)
+
+
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_batch:

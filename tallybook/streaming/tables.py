@@ -32,10 +32,16 @@ def read_latest(spark: SparkSession, path: str, schema, keys: list[str], order:
     return latest_by_key(read_all(spark, path, schema), keys, [*order, "batch"]).drop("batch")
 
 
-def run_available(stream: DataFrame, handle, checkpoint: str) -> None:
-    """Feed everything the source holds through ``handle(rows, batch_id)``."""
+def late_rows(query) -> int:
+    """Rows that a finished query's stateful operators dropped for coming after the watermark."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def run_available(stream: DataFrame, handle, checkpoint: str) -> int:
+    """Feed everything the source holds through ``handle(rows, batch_id)``; returns the late rows that were dropped."""
     query = (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return late_rows(query)

@@ -99,3 +99,44 @@ def test_hourly_counts_and_page_dedupe(spark, tmp_path):
     query.awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/out").collect()
     assert sorted((r["hour_start"].hour, r["orders"]) for r in rows)[:2] == [(10, 2), (11, 1)]
+
+
+ORDERS = "market string, local_date date, id long"
+
+
+def deliver(spark, path, rows):
+    spark.createDataFrame(rows, ORDERS).coalesce(1).write.mode("append").parquet(path)
+
+
+def run_milestones(spark, path, steps=(3, 5, 100), grace=1):
+    stream = jobs.read_files(spark, f"{path}/in", ORDERS, files_per_batch=1)
+    late = jobs.detect_order_milestones(stream, f"{path}/out", steps, grace)
+    rows = tables.read_all(spark, f"{path}/out/events", "market string, local_date date, prev long, n long, threshold long").collect()
+    return late, sorted((r["market"], r["local_date"].day, r["prev"], r["n"], r["threshold"]) for r in rows)
+
+
+def test_orders_delivered_again_count_once_over_a_restart(spark, tmp_path):
+    day = dt.date(2026, 1, 1)
+    deliver(spark, f"{tmp_path}/in", [("AU", day, i) for i in (1, 2, 2, 2)] + [("US", day, 1), ("US", day, None)])
+    deliver(spark, f"{tmp_path}/in", [("AU", day, i) for i in (1, 2, 1)])
+    assert run_milestones(spark, tmp_path) == (0, [])
+    # Started again from its checkpoint: what was delivered before still doesn't count.
+    deliver(spark, f"{tmp_path}/in", [("AU", day, i) for i in (1, 2, 3)])
+    assert run_milestones(spark, tmp_path) == (0, [("AU", 1, 2, 3, 3)])
+    deliver(spark, f"{tmp_path}/in", [("AU", day, i) for i in range(1, 120)] + [("US", day, i) for i in range(40)])
+    assert run_milestones(spark, tmp_path) == (0, [("AU", 1, 2, 3, 3), ("AU", 1, 3, 119, 100), ("US", 1, 1, 40, 5)])
+    # Nothing new: nothing happens.
+    assert run_milestones(spark, tmp_path)[1][-1] == ("US", 1, 1, 40, 5)
+
+
+def test_days_are_forgotten_when_they_have_ended(spark, tmp_path):
+    day = dt.date(2026, 1, 1)
+    for n in range(4):
+        deliver(spark, f"{tmp_path}/in", [("AU", day + dt.timedelta(days=3 * n), i) for i in range(2)])
+    run_milestones(spark, tmp_path)
+    deliver(spark, f"{tmp_path}/in", [("AU", day, i) for i in range(9)])
+    late, events = run_milestones(spark, tmp_path)
+    assert late == 9 and events == []
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out/state").iterdir() if "=" in p.name)
+    kept = tables.read_batch(spark, f"{tmp_path}/out/state", last).collect()
+    assert [r["local_date"].day for r in kept] == [10]
