@@ -237,10 +237,13 @@ SELECT sku, st AS current_stock, CAST(loose AS BIGINT) AS stock_loose_tins, CAST
   WHEN dl < 30 THEN CASE WHEN inq = 0 THEN 'low' ELSE 'low-incoming' END WHEN dl < 60 THEN 'monitor' ELSE 'stable' END AS risk,
  floor(dl * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS days_left, floor(rate * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS run_rate_per_day, CAST(date_diff('day', DATE '2001-06-30', next_date) AS BIGINT) AS next_po_days FROM c""")
 def stock_risk(v):
+    return risk.risk_sorted(risk_rows(v))
+
+
+def risk_rows(v):
     inv = stock_inventory(v)
     incoming = purchasing.incoming_shown(purchasing.incoming_units(v("f_po_lines")))
-    rows = risk.stock_risk(inv, inventory.base_stock(inv), incoming, _rates(v), inventory.empty_tins(stock(v)), AS_OF)
-    return risk.risk_sorted(rows)
+    return risk.stock_risk(inv, inventory.base_stock(inv), incoming, _rates(v), inventory.empty_tins(stock(v)), AS_OF)
 
 
 _PACK_SQL = """SELECT s.*, CASE WHEN s.code LIKE 'P-AU-SRT-%' THEN 'srt' WHEN s.code LIKE 'P-OC-AU-CTN-%' THEN 'cartons' END AS grp,

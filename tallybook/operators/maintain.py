@@ -59,6 +59,19 @@ def replace_children(lines: DataFrame, parents: DataFrame, new_lines: DataFrame,
     return kept.unionByName(new_lines.select(*lines.columns))
 
 
+#: Rows of a membership set that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def members(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A membership set to join with: broadcast if it is counted to have at most ``most`` rows.
+
+    Then the big side isn't shuffled, however many of its rows share one id.  A larger set is
+    joined by shuffles: Spark filters the big side by a Bloom filter of the set where that pays, and splits hot ids.
+    """
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
+
+
 def supersede_ranges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Land re-fetched report batches.
 
@@ -66,19 +79,16 @@ def supersede_ranges(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     for it, its own included, so landing a batch twice changes nothing.  Then
     rows with a line id are unique per (market, line id), newest batch first:
     a line may have moved between ranges.  Rows without an id are only replaced
-    by range.
+    by range: they take no part in the aggregation.
     """
     span = ["market", "range_label"]
-    newest = incoming.groupBy(*span).agg(F.max("report_job_id").alias("new_job"))
+    newest = members(incoming.groupBy(*span).agg(F.max("report_job_id").alias("new_job")))
     both = existing.withColumn("is_new", F.lit(0)).unionByName(incoming.withColumn("is_new", F.lit(1)))
     untouched = (F.col("is_new") == 0) & F.col("new_job").isNull()
     landed = (F.col("is_new") == 1) & (F.col("report_job_id") == F.col("new_job"))
     rows = both.join(newest, span, "left").filter(untouched | landed).drop("new_job")
-    # A row without a line id is its own identity; the number only has to be unique.
-    own = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
-    identity = F.coalesce(F.concat(F.lit("line "), "shipment_item_id"), own)
-    keyed = rows.withColumn("identity", identity)
-    return latest_by_key(keyed, ["market", "identity"], ["is_new", "report_job_id"]).drop("identity", "is_new")
+    lines = latest_by_key(rows.filter(F.col("shipment_item_id").isNotNull()), ["market", "shipment_item_id"], ["is_new", "report_job_id"])
+    return lines.unionByName(rows.filter(F.col("shipment_item_id").isNull())).drop("is_new")
 
 
 def _ingested_latest(jobs: DataFrame) -> DataFrame:
@@ -90,14 +100,14 @@ def _ingested_latest(jobs: DataFrame) -> DataFrame:
 def superseded(items: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows held by an ingested batch that is not the latest of its range."""
     stale = _ingested_latest(jobs).filter(F.col("id") != F.col("latest_job")).select(F.col("id").alias("report_job_id"))
-    return items.join(stale, "report_job_id", "left_semi")
+    return items.join(members(stale), "report_job_id", "left_semi")
 
 
 def dedupe_superseded(items: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows kept, summary per range).  Rows are counted per batch before any join."""
     ledger = _ingested_latest(jobs)
     stale = ledger.filter(F.col("id") != F.col("latest_job")).select(F.col("id").alias("report_job_id"))
-    kept = items.join(stale, "report_job_id", "left_anti")
+    kept = items.join(members(stale), "report_job_id", "left_anti")
     held = items.groupBy("report_job_id").agg(F.count("*").alias("n"))
     is_latest = F.col("id") == F.col("latest_job")
     summary = ledger.join(held, ledger["id"] == held["report_job_id"], "left").groupBy(
@@ -108,12 +118,12 @@ def dedupe_superseded(items: DataFrame, jobs: DataFrame) -> tuple[DataFrame, Dat
 
 
 def in_batches(items: DataFrame, batches: DataFrame) -> DataFrame:
-    return items.join(batches.select(F.col("id").alias("report_job_id")).distinct(), "report_job_id", "left_semi")
+    return items.join(members(batches.select(F.col("id").alias("report_job_id")).distinct()), "report_job_id", "left_semi")
 
 
 def cascade_delete(parents: DataFrame, children: DataFrame, doomed: DataFrame, parent_key: str, child_key: str) -> tuple[DataFrame, DataFrame]:
     """(parents, children) without the doomed parents; ``doomed`` has column id."""
-    ids = doomed.select(F.col("id").alias("doomed_id")).distinct()
+    ids = members(doomed.select(F.col("id").alias("doomed_id")).distinct())
     return (
         parents.join(ids, F.col(parent_key) == F.col("doomed_id"), "left_anti"),
         children.join(ids, F.col(child_key) == F.col("doomed_id"), "left_anti"),

@@ -14,6 +14,7 @@ from tallybook.functions.fixed import (
     COUNTABLE_STATUSES, DEAD_CREDIT_STATUSES, DEAD_ORDER_STATUSES, SALES_CHANNELS,
 )
 from tallybook.operators.erp_lines import MONEY, derive_lines, with_channel
+from tallybook.operators.ranking import ranked
 
 TINS = "decimal(18,4)"
 
@@ -241,9 +242,37 @@ def five_channel(facts: DataFrame, credits: DataFrame) -> DataFrame:
     return sales.unionByName(refunds.select(*out)).unionByName(refund_skus.select(*out))
 
 
-def five_channel_sorted(rows: DataFrame) -> DataFrame:
+def five_channel_order() -> list:
     """Sections together, months in order, the biggest SKUs first."""
-    return rows.orderBy("section", "ym", F.col("total_tins").desc(), "key")
+    return ["section", "ym", F.col("total_tins").desc(), "key"]
+
+
+def five_channel_sorted(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(*five_channel_order())
+
+
+def five_channel_whole(rows: DataFrame, cutover: str) -> DataFrame:
+    """The report of ``five_channel`` as it is shown: each month of it has all five channels and a refund row, zeros
+    included, and its counts; ``position`` is a row's place in the order of the report.
+
+    Counts: orders of the ERP's channels (the marketplace among them from the cut-over month on), the same with refund notes,
+    the notes, and the SKU rows.  Months, channels and counts are added to rows that have been summed before.
+    """
+    slots = F.array(*[F.struct(F.lit("channel").alias("section"), F.lit(c).alias("key")) for c in SALES_CHANNELS], F.struct(F.lit("refund").alias("section"), F.lit("all").alias("key")))
+    zeros = rows.select("ym").distinct().select("ym", F.explode(slots).alias("s")).select(
+        "s.section", "ym", "s.key", F.lit(0).cast(TINS).alias("total_tins"), F.lit(0).cast(rows.schema["revenue"].dataType).alias("revenue"), F.lit(0).cast("bigint").alias("orders"))
+    shown = rows.filter(F.col("section").isin("channel", "refund")).unionByName(zeros, allowMissingColumns=True).groupBy("section", "ym", "key").agg(
+        *[F.sum(c).cast(rows.schema[c].dataType).alias(c) for c in ("total_tins", "revenue", "orders")])
+    erp_channels = ~F.col("key").isin("woo", "amz") | ((F.col("key") == "amz") & (F.col("ym") >= cutover))
+    of_erp = F.sum(F.when((F.col("section") == "channel") & erp_channels, F.col("orders")).otherwise(0))
+    notes = F.sum(F.when(F.col("section") == "refund", F.col("orders")).otherwise(0))
+    counts = rows.groupBy("ym").agg(
+        of_erp.alias("ordersConsidered"), (of_erp + notes).alias("attributedRefs"), notes.alias("creditNotesConsidered"),
+        F.count_if(F.col("section") == "sku").alias("skuRows"),
+    ).unpivot("ym", ["ordersConsidered", "attributedRefs", "creditNotesConsidered", "skuRows"], "key", "orders").withColumn("section", F.lit("counts"))
+    lists = rows.filter(F.col("section").isin("sku", "refund_sku"))
+    whole = lists.unionByName(shown, allowMissingColumns=True).unionByName(counts, allowMissingColumns=True)
+    return ranked(whole.select(*rows.columns), *five_channel_order())
 
 
 def channel_month_raw(documents: DataFrame, credits: DataFrame) -> DataFrame:

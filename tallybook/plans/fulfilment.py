@@ -96,11 +96,19 @@ def board_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(F.count("*").alias("orders"), F.count_if("is_past_due").alias("past_due"))
 
 
-def by_must_ship(rows: DataFrame) -> DataFrame:
+def must_ship_order() -> list:
     """Dispatched orders last, then by ship date with undated orders last."""
-    return rows.orderBy("is_dispatched", F.col("must_ship_by").asc_nulls_last(), "id")
+    return ["is_dispatched", F.col("must_ship_by").asc_nulls_last(), "id"]
 
 
-def by_reference(rows: DataFrame) -> DataFrame:
+def by_must_ship(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(*must_ship_order())
+
+
+def reference_order() -> list:
     """Dispatched orders last, then references in number-aware order."""
-    return rows.orderBy("is_dispatched", text.natural_key(F.col("reference")), "id")
+    return ["is_dispatched", text.natural_key(F.col("reference")), "id"]
+
+
+def by_reference(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(*reference_order())

@@ -110,8 +110,13 @@ def inventory(stock: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
+def inventory_order() -> list:
+    """Discontinued codes last, then the largest stock first."""
+    return ["discontinued", F.col("warehouse_soh").desc(), "sku"]
+
+
 def inventory_sorted(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("discontinued", F.col("warehouse_soh").desc(), "sku")
+    return rows.orderBy(*inventory_order())
 
 
 def base_stock(rows: DataFrame) -> DataFrame:

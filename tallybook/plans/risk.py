@@ -76,6 +76,10 @@ def stock_risk(inventory: DataFrame, base: DataFrame, incoming: DataFrame, rates
     return out.drop("rate", "left", "next_date")
 
 
+def risk_order() -> list:
+    """The worst risk first, then the fewest days."""
+    return [F.array_position(F.array(*[F.lit(r) for r in RISK_ORDER]), F.col("risk")), F.coalesce("days_left", F.lit(99999.0)), "sku"]
+
+
 def risk_sorted(rows: DataFrame) -> DataFrame:
-    rank = F.array_position(F.array(*[F.lit(r) for r in RISK_ORDER]), F.col("risk"))
-    return rows.orderBy(rank, F.coalesce("days_left", F.lit(99999.0)), "sku")
+    return rows.orderBy(*risk_order())
