@@ -48,7 +48,7 @@ SQL_VIEWS.update({
   o.reference, o.expected_date, l.qty * CASE WHEN l.code LIKE 'AU-CTN-%' OR l.code LIKE 'AU-SRT-%' THEN {sql_pack('l.code')} ELSE 1 END AS q
   FROM f_po_lines l JOIN s_open_po o ON o.reference = l.reference WHERE l.code LIKE 'AU-%') GROUP BY 1, 2, 3""",
     "s_incoming_sku": """SELECT base, sum(qty) AS qty, count(*) AS pos, min(expected_date) AS next_date,
- arg_min(reference, struct_pack(d := expected_date, r := reference)) FILTER (expected_date IS NOT NULL) AS next_ref,
+ arg_max(reference, struct_pack(d := -date_diff('day', DATE '1970-01-01', expected_date), r := reference)) FILTER (expected_date IS NOT NULL) AS next_ref,
  list_aggregate(list_slice(list_reverse(list_sort(list(reference))), 1, 3), 'string_agg', ',') AS refs FROM s_incoming GROUP BY 1""",
     "s_rates": """SELECT sku, tins, cur, CASE WHEN tins / 92.0::DOUBLE = 0 AND cur > 0 THEN cur / 30.0::DOUBLE ELSE tins / 92.0::DOUBLE END AS rate, tins / 92.0::DOUBLE = 0 AND cur > 0 AS provisional FROM (
  SELECT sku, CAST(coalesce(sum(t) FILTER (ym <> '2001-06'), 0) AS DOUBLE) AS tins, CAST(coalesce(sum(t) FILTER (ym = '2001-06'), 0) AS DOUBLE) AS cur

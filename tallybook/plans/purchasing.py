@@ -140,8 +140,9 @@ def incoming_units(lines: DataFrame) -> DataFrame:
 
 
 def _incoming_totals(units: DataFrame) -> DataFrame:
-    dated = F.when(F.col("expected_date").isNotNull(), F.struct("expected_date", "reference"))
-    total = units.groupBy("base").agg(F.sum("qty").alias("qty"), F.count("*").alias("pos"), F.min(dated).alias("next"))
+    # The earliest date, and of POs of one date the newest reference.
+    dated = F.when(F.col("expected_date").isNotNull(), F.struct((-F.unix_date("expected_date")).alias("soon"), "reference", "expected_date"))
+    total = units.groupBy("base").agg(F.sum("qty").alias("qty"), F.count("*").alias("pos"), F.max(dated).alias("next"))
     return total.select("base", "qty", "pos", F.col("next.expected_date").alias("next_date"), F.col("next.reference").alias("next_ref"))
 
 

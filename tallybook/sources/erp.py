@@ -11,7 +11,7 @@ from tallybook.functions import codes
 from tallybook.functions.channels import erp_channel, erp_channel_csv
 from tallybook.operators.erp_lines import derive_lines
 from tallybook.operators.maintain import arrival, first_by_key, newest_documents
-from tallybook.sources.parse import MONEY, any_time, blank_null, number
+from tallybook.sources.parse import MONEY, any_time, blank_null, number, strict
 
 LINE = (
     "struct<id: long, parentId: long, code: string, name: string, qty: decimal(18,4), uomSize: decimal(18,4),"
@@ -95,10 +95,10 @@ def import_csv(rows: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]
     kept = rows.withColumn("channel_attr", attr).filter(F.col("channel_attr").isNotNull())
     shaped = kept.select(
         "position", F.trim("Order Id").try_cast("long").alias("id"), F.nullif("Order Ref", F.lit("")).alias("reference"), status.alias("status"),
-        "channel_attr", F.nullif("Company", F.lit("")).alias("company"), number(F.col("Total Excl")).alias("total"),
+        "channel_attr", F.nullif("Company", F.lit("")).alias("company"), strict(F.col("Total Excl")).alias("total"),
         F.date_format(created, _ISO).alias("created_date"), F.date_format(F.coalesce(F.greatest(*past), created), _ISO).alias("modified_date"),
-        blank_null(F.col("Item Code")).alias("code"), number(F.col("Item Qty"), "decimal(18,4)").alias("qty"),
-        number(F.col("Item Price"), "decimal(18,6)").alias("unit_price"), F.nullif("Item Name", F.lit("")).alias("name"),
+        blank_null(F.col("Item Code")).alias("code"), strict(F.col("Item Qty"), "decimal(18,4)").alias("qty"),
+        strict(F.col("Item Price"), "decimal(18,6)").alias("unit_price"), F.nullif("Item Name", F.lit("")).alias("name"),
     ).filter(F.col("id").isNotNull())
     header = ["id", "reference", "status", "channel_attr", "company", "total", "created_date", "modified_date"]
     orders = first_by_key(shaped.select("position", *header), ["id"], ["position"]).drop("position")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import calendar, codes
@@ -13,7 +13,8 @@ from tallybook.functions.fixed import (
     MARKETPLACE_CSV_COLUMNS, MARKETPLACE_IDS, REPORT_COLUMNS, SKIPPED_MARKETPLACE_STATUSES,
 )
 from tallybook.operators.maintain import first_by_key
-from tallybook.sources.parse import blank_null, number, whole
+from tallybook.sources import folders
+from tallybook.sources.parse import blank_null, number, strict, strict_whole, whole
 from tallybook.sources.store import market_currency
 
 ORDER_SCHEMA = (
@@ -106,11 +107,30 @@ def sniff_delimiter(header_line: str) -> str:
     return "\t" if header_line.count("\t") >= header_line.count(",") else ","
 
 
+REQUIRED_COLUMNS = ("order_id", "purchase_date", "sku", "quantity", "item_price", "currency")
+
+
+def missing_columns(columns: list[str]) -> list[str]:
+    """Required fields that none of a file's columns holds."""
+    return [f for f in REQUIRED_COLUMNS if not set(MARKETPLACE_CSV_COLUMNS[f]) & set(columns)]
+
+
+def read_export_folder(spark: SparkSession, path: str) -> tuple[list[DataFrame], DataFrame]:
+    """(one frame per kind of header, files) of a folder of exports in any mix of delimiters and naming conventions.
+
+    files: file, header, delimiter, missing (required fields; such files are skipped, and so are files without a header).
+    """
+    kinds, files = folders.by_header(spark, path, sniff_delimiter)
+    usable = [k for k in kinds if not missing_columns(k.columns)]
+    bad = F.array_compact(F.array(*[
+        F.when(~F.arrays_overlap("columns", F.array(*[F.lit(c) for c in MARKETPLACE_CSV_COLUMNS[f]])), F.lit(f)) for f in REQUIRED_COLUMNS]))
+    return [folders.read(spark, k) for k in usable], files.select("file", "delimiter", bad.alias("missing"))
+
+
 def canonical_csv(raw: DataFrame) -> DataFrame:
     """One export file under the importer's own column names."""
     at = pick_columns(raw, MARKETPLACE_CSV_COLUMNS, normalise=lambda c: c)
-    required = ("order_id", "purchase_date", "sku", "quantity", "item_price", "currency")
-    missing = [f for f in required if f not in at]
+    missing = [f for f in REQUIRED_COLUMNS if f not in at]
     if missing:
         raise ValueError(f"columns missing: {', '.join(missing)}")
     fields = [F.col(f"`{at[f]}`").alias(f) if f in at else F.lit(None).cast("string").alias(f) for f in MARKETPLACE_CSV_COLUMNS]
@@ -118,7 +138,10 @@ def canonical_csv(raw: DataFrame) -> DataFrame:
 
 
 def csv_rows(files: list[DataFrame]) -> DataFrame:
-    """Rows of all files with the reason a row is dropped for, or 'candidate'."""
+    """Rows of all files with the reason a row is dropped for, or 'candidate'.
+
+    A number is a text that is one as a whole; any other text counts 0.
+    """
     rows = canonical_csv(files[0])
     for raw in files[1:]:
         rows = rows.unionByName(canonical_csv(raw), allowMissingColumns=True)
@@ -139,7 +162,7 @@ def csv_rows(files: list[DataFrame]) -> DataFrame:
     return rows.select(
         "position", reason.alias("reason"), text("order_id").alias("order_id"), currency.alias("currency"), text("item_id").alias("item_id"),
         text("sku").alias("seller_sku"), bought.alias("purchase_date"), day.alias("local_date"), text("product_name").alias("name"),
-        whole(F.col("quantity")).alias("quantity"), number(F.col("item_price")).alias("item_price"), number(F.col("shipping")).alias("shipping"))
+        strict_whole(F.col("quantity")).alias("quantity"), strict(F.col("item_price")).alias("item_price"), strict(F.col("shipping")).alias("shipping"))
 
 
 def csv_items(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MONEY = "decimal(18,2)"
 
@@ -19,16 +20,17 @@ def from_text(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
     return raw.select(*others, F.from_json(column, schema).alias("d")).select(*others, "d.*")
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "utf-8", schema: StructType | None = None) -> DataFrame:
     """Delimited text with quoted newlines, every field as text, plus its position.
 
     A file with quoted newlines is read by one task, in order, so file path and
-    row id give the position rows had.
+    row id give the position rows had.  With a schema of text columns no file is opened for its header.
     """
-    rows = (
+    reader = (
         spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-        .option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+        .option("multiLine", True).option("escape", '"').option("inferSchema", False)
     )
+    rows = (reader.schema(schema) if schema else reader).csv(path)
     return rows.withColumn("position", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
@@ -59,6 +61,34 @@ def number(text: Column, kind: str = MONEY) -> Column:
     return F.coalesce(text.try_cast(kind), lead, F.lit(0).cast(kind))
 
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def strict(text: Column, kind: str = MONEY) -> Column:
+    """The number a text is as a whole; 0 for any other text ('1,234.50', '12abc')."""
+    return F.coalesce(F.when(text.rlike(_NUMBER), F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))), F.lit(0).cast(kind))
+
+
+def strict_whole(text: Column) -> Column:
+    """The same without what stands behind the point."""
+    return F.coalesce(F.when(text.rlike(_NUMBER), text.try_cast("double").try_cast("long")), F.lit(0).cast("long"))
+
+
+def with_rejects(raw: DataFrame, schema: str, key: str = "id", column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(documents, rejects) of JSON texts in one column; other columns are kept in both.
+
+    A text that isn't a document of the schema is rejected as 'broken', one without a key as 'no key'; rejects hold the
+    reason and the raw text, so they can be counted, mended and sent again.
+    """
+    others = [c for c in raw.columns if c != column]
+    parsed = raw.withColumn("_d", F.from_json(column, f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    broken = F.col("_d").isNull() | F.col("_d._broken").isNotNull()
+    reason = F.when(broken, "broken").when(F.col(f"_d.{key}").isNull(), "no key")
+    tagged = parsed.withColumn("_reason", reason)
+    good = tagged.filter(F.col("_reason").isNull()).select(*others, "_d.*").drop("_broken")
+    return good, tagged.filter(F.col("_reason").isNotNull()).select(*others, F.col("_reason").alias("reason"), F.col(column).alias("raw"))
+
+
 def any_time(text: Column, formats: tuple[str, ...]) -> Column:
     """Timestamp by the first format that fits the whole text."""
     s = F.trim(text)

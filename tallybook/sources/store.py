@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.functions import calendar
 from tallybook.functions.fixed import MARKET_CURRENCY
 from tallybook.operators.maintain import arrival, first_by_key, newest_documents
-from tallybook.sources.parse import any_time, blank_null, number, whole
+from tallybook.sources.parse import any_time, blank_null, number, strict, strict_whole, whole
 
 ORDER_SCHEMA = (
     "id long, number string, status string, date_created string, date_modified string, total string, currency string,"
@@ -63,10 +63,10 @@ def import_csv(rows: DataFrame, market: str = "AU") -> tuple[DataFrame, DataFram
         F.regexp_replace(F.trim(F.coalesce(F.nullif("Order Number", F.lit("")), F.col("Order ID"))), "^#+", "").alias("number"),
         F.lower(F.coalesce(blank_null(F.col("Status")), F.lit("unknown"))).alias("status"),
         F.coalesce(F.date_format(created, "yyyy-MM-dd'T'HH:mm:ss"), raw_date).alias("date_created"),
-        number(F.col("Total")).alias("total"),
+        strict(F.col("Total")).alias("total"),
         F.coalesce(blank_null(F.col("Currency")), market_currency(F.lit(market))).alias("currency"),
         blank_null(F.col("Line Item Sku")).alias("sku"), blank_null(F.col("Line Item Name")).alias("name"),
-        whole(F.col("Line Item Quantity")).alias("quantity"), number(F.col("Line Item Total")).alias("line_total"),
+        strict_whole(F.col("Line Item Quantity")).alias("quantity"), strict(F.col("Line Item Total")).alias("line_total"),
     ).filter(F.col("id").isNotNull() & (F.col("id") != 0))
     header = ["id", "number", "status", "date_created", "total", "currency"]
     orders = first_by_key(shaped.select("position", *header), ["id"], ["position"]).drop("position").select(
