@@ -16,6 +16,7 @@ from tallybook.catalog.supply import THREEPL
 from tallybook.functions import calendar
 from tallybook.plans import erp as erp_reports
 from tallybook.catalog.erp import chan_counts, chan_lines
+from tallybook.session import work_dir
 from tallybook.sources import accounting, erp, marketplace, shipping, stock, store
 from tallybook.sources.parse import from_text
 from tallybook.testviews import VIEWS
@@ -533,6 +534,37 @@ def static_month_snapshot(v):
     return stock.month_snapshot(months.unionByName(skus).select(wrapped))
 
 
+@query("buying_history_document", f"""
+SELECT sku, ym, CAST(q AS BIGINT) AS quantity, CAST(sum(q) OVER (PARTITION BY sku) % 100 AS BIGINT) AS allocated FROM ({_HISTORY})
+UNION ALL SELECT 'no months', NULL, NULL, 7 WHERE EXISTS (SELECT 1 FROM f_store_items)""")
+def buying_history_document(v):
+    """All SKUs in one object, as the file is delivered; it is bounded by the number of product codes."""
+    path = work_dir(v.spark, "history")
+    month = calendar.month_of(F.col("local_date"))
+    by_month = v("f_store_items").filter(F.col("sku").isNotNull()).groupBy("sku", month.alias("ym")).agg(F.sum("quantity").cast("int").alias("q"))
+    entries = by_month.groupBy("sku").agg(F.struct(
+        F.map_from_entries(F.collect_list(F.struct("ym", "q"))).alias("monthlySales"), (F.sum("q") % 100).cast("int").alias("allocated")).alias("d"))
+    none = v.spark.sql("SELECT 'no months' AS sku, named_struct('monthlySales', CAST(NULL AS map<string, int>), 'allocated', 7) AS d")
+    whole = entries.unionByName(none).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("sku", "d")))).alias("body"))
+    whole.select(F.concat(F.lit("// generated\n// by hand\nexport default \n"), "body", F.lit(";\n")).alias("value")).coalesce(1).write.text(path)
+    return stock.buying_history_document(v.spark.read.text(path, wholetext=True))
+
+
+@query("static_month_channels", """
+SELECT ym, channel, CAST(NULL AS VARCHAR) AS sku, CAST(tins AS DOUBLE) + 1 AS units, CAST(tins AS DOUBLE) AS tins FROM s_chan_month
+UNION ALL SELECT ym, unnest(['col', 'woo2', 'dist', 'amz']), sku, NULL, unnest([CAST(col AS DOUBLE), CAST(woo2 AS DOUBLE), CAST(dist AS DOUBLE), CAST(amz AS DOUBLE)]) FROM s_sku_pivot""")
+def static_month_channels(v):
+    sums = erp_reports.line_facts(chan_lines(v))
+    tins = F.col("tins").cast("double")
+    record = F.struct((tins + 1).alias("units"), tins.alias("tins"))
+    months = erp_reports.channel_month(sums, chan_counts(v)).groupBy("ym").agg(F.map_from_entries(F.collect_list(F.struct("channel", record))).alias("channels")).select(
+        F.to_json(F.struct(F.create_map("ym", "channels").alias("salesByMonth"))).alias("body"))
+    row = F.array(F.struct("sku", *[F.col(c).cast("double").alias(c) for c in ("col", "woo2", "dist", "amz")]))
+    skus = erp_reports.sku_pivot(sums).select(F.to_json(F.struct(F.create_map("ym", row).alias("skuSalesByMonth"))).alias("body"))
+    wrapped = F.concat(F.lit("// generated\nwindow.MONTH_DATA = "), "body", F.lit(";\n")).alias("value")
+    return stock.month_snapshot_channels(months.unionByName(skus).select(wrapped))
+
+
 # --- accounting -----------------------------------------------------------------------------
 
 

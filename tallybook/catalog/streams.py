@@ -110,3 +110,23 @@ def orders_per_hour_stream(v):
     late = streams.append_available(streams.hourly_counts(streams.dedupe_pages(pages, late=f"{DELAY_MINUTES} minutes")), path)
     rows = v.spark.read.parquet(f"{path}/rows").filter(F.col("market") != "heartbeat").select("market", F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "orders")
     return rows.unionByName(v.spark.sql(f"SELECT 'left to the re-sweep' AS market, CAST(NULL AS STRING) AS hour_start, CAST({late} AS BIGINT) AS orders"))
+
+
+_VERSION = "id long, market string, status string, date_modified string"
+
+
+@query("stream_order_versions", """
+SELECT id, market, CASE WHEN id % 10 = 0 THEN 'late' WHEN id % 4 = 0 THEN 'refunded' WHEN id % 6 = 0 THEN 'on-hold' ELSE status END AS status,
+ CASE WHEN id % 10 = 0 OR id % 4 = 0 THEN substr(date_created, 1, 10) || 'T23:59:59' ELSE date_created END AS date_modified FROM f_store_orders""")
+def stream_order_versions(v):
+    """Five files: all orders, some changed, some as an older copy, some changed on a tied clock, some changed again on a tied clock."""
+    path = work_dir(v.spark, "stream-versions")
+    orders, k = v("f_store_orders"), F.col("id")
+    created, night = F.col("date_created"), F.concat(F.substring("date_created", 1, 10), F.lit("T23:59:59"))
+    for which, status, modified in (
+        (k >= 0, F.col("status"), created), (k % 4 == 0, F.lit("refunded"), night), (k % 8 == 0, F.lit("stale"), F.lit("1990-01-01T00:00:00")),
+        (k % 6 == 0, F.lit("on-hold"), created), (k % 10 == 0, F.lit("late"), night),
+    ):
+        _arrive(orders.filter(which).select("id", "market", status.alias("status"), modified.alias("date_modified")), f"{path}/in")
+    streams.upsert_versions(streams.read_files(v.spark, f"{path}/in", _VERSION, files_per_batch=1), path, fold_every=2)
+    return tables.read_versions(v.spark, path, _VERSION, "id", "date_modified").drop("arrival")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import codes
+from tallybook.functions.fixed import SALES_CHANNELS
 from tallybook.operators.maintain import latest_by_key
 from tallybook.sources.parse import number
 
@@ -109,16 +110,42 @@ def buying_history_long(documents: DataFrame) -> DataFrame:
     return documents.select("sku", F.explode("monthlySales").alias("ym", "quantity"), "allocated")
 
 
+def buying_history_document(texts: DataFrame, column: str = "value") -> DataFrame:
+    """The same rows of whole scripts that hold one object keyed by SKU: comments and the export go, keys become rows.
+
+    A SKU without months has one row without a month; so its allocation isn't lost.
+    """
+    body = F.regexp_replace(F.col(column), r"(?m)^\s*//.*$", "")
+    body = F.regexp_replace(F.regexp_replace(body, r"(?s)^\s*export\s+default\s*", ""), r"(?s);\s*$", "")
+    docs = F.from_json(body, "map<string, struct<monthlySales: map<string, int>, allocated: int>>")
+    return texts.select(F.explode(docs).alias("sku", "d")).select(
+        "sku", F.explode_outer("d.monthlySales").alias("ym", "quantity"), F.col("d.allocated").alias("allocated"))
+
+
 _CHANNEL = "struct<units: double, tins: double, revenue: double, orders: long>"
 _SKU = "struct<sku: string, name: string, woo: double, amz: double, col: double, woo2: double, dist: double, total_tins: double, revenue: double>"
 SNAPSHOT_SCHEMA = f"struct<salesByMonth: map<string, map<string, {_CHANNEL}>>, skuSalesByMonth: map<string, array<{_SKU}>>>"
 
 
-def month_snapshot(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Rows of baked script files: drop comments and the assignment, parse, explode."""
+def _snapshots(texts: DataFrame, column: str) -> DataFrame:
     body = F.regexp_replace(F.col(column), r"(?m)^\s*//.*$", "")
     body = F.regexp_replace(F.regexp_replace(body, r"(?s)^\s*window\.\w+\s*=\s*", ""), r"(?s);\s*$", "")
-    docs = texts.select(F.from_json(body, SNAPSHOT_SCHEMA).alias("d"))
+    return texts.select(F.from_json(body, SNAPSHOT_SCHEMA).alias("d"))
+
+
+def month_snapshot_channels(texts: DataFrame, column: str = "value") -> DataFrame:
+    """What the scripts say by channel: a channel's units and tins of a month, and each SKU's tins by channel."""
+    docs = _snapshots(texts, column)
+    channels = docs.select(F.explode("d.salesByMonth").alias("ym", "c")).select("ym", F.explode("c").alias("channel", "r")).select(
+        "ym", "channel", F.lit(None).cast("string").alias("sku"), "r.units", "r.tins")
+    skus = docs.select(F.explode("d.skuSalesByMonth").alias("ym", "s")).select("ym", F.explode("s").alias("r")).select("ym", "r.sku", *[f"r.{c}" for c in SALES_CHANNELS])
+    by_channel = skus.unpivot(["ym", "sku"], list(SALES_CHANNELS), "channel", "tins").filter(F.col("tins").isNotNull())
+    return channels.unionByName(by_channel, allowMissingColumns=True)
+
+
+def month_snapshot(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Rows of baked script files: drop comments and the assignment, parse, explode."""
+    docs = _snapshots(texts, column)
     channels = docs.select(F.explode("d.salesByMonth").alias("ym", "c")).select("ym", F.explode("c").alias("key", "r")).select(
         F.lit("channel").alias("section"), "ym", "key", "r.tins", "r.revenue", "r.orders")
     skus = docs.select(F.explode("d.skuSalesByMonth").alias("ym", "s")).select("ym", F.explode("s").alias("r")).select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallybook.functions.fixed import MILESTONES
 from tallybook.operators.incremental import milestone_ticks, sellouts
 from tallybook.operators.maintain import latest_by_key
-from tallybook.streaming.tables import late_rows, read_batch, run_available, write_batch
+from tallybook.streaming.tables import late_rows, read_batch, run_available, write_batch, written_batches
 
 
 def upsert_orders(stream: DataFrame, path: str, key: str = "id", order: str = "date_created") -> None:
@@ -28,6 +28,29 @@ def upsert_orders(stream: DataFrame, path: str, key: str = "id", order: str = "d
     run_available(stream, handle, f"{path}/checkpoint")
 
 
+def upsert_versions(stream: DataFrame, path: str, key: str = "id", modified: str = "date_modified", fold_every: int = 8) -> None:
+    """Land rows that are delivered again: per key the copy modified last counts, then that of the later batch.
+
+    A batch writes its newest copies.  Every fold_every batches, what has come so far is folded to one copy per key, from the
+    fold before and the batches since; so a read touches fold_every folders at most, whatever the stream's age.  A retried
+    batch or fold overwrites its own folder.  What the fold before the last has taken up is read no more and may be removed.
+    """
+    spark = stream.sparkSession
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+
+    def handle(rows: DataFrame, batch_id: int) -> None:
+        arrived = rows.filter(F.col(key).isNotNull()).withColumn("arrival", F.lit(batch_id).cast("long"))
+        write_batch(latest_by_key(arrived, [key], [modified, "arrival"]), f"{path}/rows", batch_id)
+        if (batch_id + 1) % fold_every == 0:
+            folds = [b for b in written_batches(spark, f"{path}/folded") if b < batch_id]
+            last = folds[-1] if folds else -1
+            parts = [f"{path}/rows/batch={b}" for b in range(last + 1, batch_id + 1)] + [f"{path}/folded/batch={last}"] * bool(folds)
+            whole = spark.read.schema(f"{schema}, arrival long").parquet(*parts)
+            write_batch(latest_by_key(whole, [key], [modified, "arrival"]), f"{path}/folded", batch_id)
+
+    run_available(stream, handle, f"{path}/checkpoint")
+
+
 def detect_sellouts(stream: DataFrame, path: str) -> None:
     """Emit sell-outs; the state is the last tick of each product.
 

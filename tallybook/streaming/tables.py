@@ -22,6 +22,25 @@ def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | Non
     return spark.read.parquet(f"{path}/batch={batch_id}")
 
 
+def written_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches that were written whole."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def read_versions(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """Newest copy of each key: the highest order, then the latest batch.  Reads the last fold and the batches after it."""
+    folds = written_batches(spark, f"{path}/folded")
+    last = folds[-1] if folds else -1
+    folders = [f"{path}/folded/batch={last}"] if folds else []
+    folders += [f"{path}/rows/batch={b}" for b in written_batches(spark, f"{path}/rows") if b > last]
+    rows = spark.read.schema(f"{schema}, arrival long")
+    rows = rows.parquet(*folders) if folders else spark.createDataFrame([], f"{schema}, arrival long")
+    return latest_by_key(rows, [key], [order, "arrival"])
+
+
 def read_all(spark: SparkSession, path: str, schema) -> DataFrame:
     """Rows of every batch with their batch number."""
     return spark.read.schema(f"{schema}, batch long").parquet(path)

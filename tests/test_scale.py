@@ -67,7 +67,7 @@ def plan(spark, sf_dir, key):
     return QUERIES[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
-STREAMS = {"stream_orders_upsert", "sellout_transition", "milestone_stream", "boundary_dedupe_stream", "orders_per_hour_stream"}
+STREAMS = {"stream_orders_upsert", "sellout_transition", "milestone_stream", "boundary_dedupe_stream", "orders_per_hour_stream", "stream_order_versions"}
 WRITES = {"append_run_log", "save_cursor", "snapshot_overwrite_guarded"}
 
 

@@ -140,3 +140,23 @@ def test_days_are_forgotten_when_they_have_ended(spark, tmp_path):
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out/state").iterdir() if "=" in p.name)
     kept = tables.read_batch(spark, f"{tmp_path}/out/state", last).collect()
     assert [r["local_date"].day for r in kept] == [10]
+
+
+def test_versions_over_folds_and_a_restart(spark, tmp_path):
+    schema = "id long, status string, date_modified string"
+    batches = [
+        [(1, "new", "2026-01-01"), (2, "new", "2026-01-01")], [(1, "paid", "2026-01-03"), (None, "lost", "2026-01-01")], [(1, "late copy", "2026-01-02"), (2, "tied", "2026-01-01")],
+        [(3, "new", None)], [(3, "dated", "2026-01-01"), (1, "tied again", "2026-01-03")], [(2, "old", "2025-01-01")], [(4, "x", "2026-01-01")],
+    ]
+    want = {}
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        jobs.upsert_versions(jobs.read_files(spark, f"{tmp_path}/in", schema), f"{tmp_path}/out", fold_every=3)
+        for i, status, modified in rows:
+            if i is not None and (i not in want or (modified or "") >= (want[i][1] or "")):
+                want[i] = (status, modified)
+        got = tables.read_versions(spark, f"{tmp_path}/out", schema, "id", "date_modified")
+        assert {r["id"]: (r["status"], r["date_modified"]) for r in got.collect()} == want
+        assert len({f.rsplit("/", 2)[1] for f in got.inputFiles()}) <= 3
+    assert tables.written_batches(spark, f"{tmp_path}/out/folded") == [2, 5]
+    assert tables.read_versions(spark, f"{tmp_path}/none", schema, "id", "date_modified").count() == 0
