@@ -81,25 +81,35 @@ def stale_sources(runs: DataFrame, hours: dict[str, int], now: dt.datetime, expe
     return out.withColumn("stale", F.col("last_run").isNull() | (F.col("age_seconds") >= F.col("allowed_hours") * 3600))
 
 
-def sellouts(ticks: DataFrame, block: str = "minute") -> DataFrame:
+def sellouts(ticks: DataFrame, block: str = "minute", wider: tuple[str, ...] = ("day", "year")) -> DataFrame:
     """Ticks where a product's stock goes from positive to zero.
 
     ``ticks``: ts, id, product_id, stock.  A null stock means untracked: it is
     remembered, so the next reading never fires; nor does the first reading.
 
-    The previous reading is found inside short time blocks, and from block to
-    block over one row per block.  No task sees all ticks of a product, which
-    may hold a third of the table.
+    The previous reading is found inside short time blocks; a block is then known by its first and last
+    reading, and so is each block of blocks.  A task sees the ticks of a product and a minute, its minutes of a
+    day, its days of a year or its years, so a product with a third of the table over many years is spread.
     """
-    at = ticks.withColumn("block", F.date_trunc(block, "ts"))
-    inside = Window.partitionBy("product_id", "block").orderBy("ts", "id")
-    within = at.withColumn("prev", F.lag("stock").over(inside)).filter((F.col("prev") > 0) & (F.col("stock") == 0))
     tick = F.struct("ts", "id", "stock")
-    blocks = at.groupBy("product_id", "block").agg(F.min(tick).alias("first"), F.max(tick).alias("last"))
-    along = Window.partitionBy("product_id").orderBy("block")
-    between = blocks.withColumn("prev", F.lag("last.stock").over(along)).filter(
-        (F.col("prev") > 0) & (F.col("first.stock") == 0)).select("product_id", F.col("first.ts").alias("ts"), F.col("first.id").alias("id"))
-    return within.select("product_id", "ts", "id").unionByName(between)
+    spans = ticks.select("product_id", tick.alias("first"), tick.alias("last"))
+    order = ("minute", "hour", "day", "month", "year")
+    levels = [block, *[w for w in wider if order.index(w) > order.index(block)], None]
+    fired = []
+    for level in levels:
+        keys = ["product_id"]
+        if level:
+            spans = spans.withColumn("block", F.date_trunc(level, "first.ts"))
+            keys.append("block")
+        along = Window.partitionBy(*keys).orderBy("first.ts", "first.id")
+        met = spans.withColumn("prev", F.lag("last.stock").over(along)).filter((F.col("prev") > 0) & (F.col("first.stock") == 0))
+        fired.append(met.select("product_id", F.col("first.ts").alias("ts"), F.col("first.id").alias("id")))
+        if level:
+            spans = spans.groupBy(*keys).agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("block")
+    out = fired[0]
+    for more in fired[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def milestone_ticks(ticks: DataFrame, thresholds: tuple[int, ...] = MILESTONES) -> DataFrame:

@@ -63,6 +63,17 @@ def test_hot_product_sellouts(spark):
     assert incremental.sellouts(ticks).count() == N // 2
 
 
+def test_a_hot_product_over_years(spark):
+    i = F.col("id")
+    ticks = spark.range(N).select(
+        i, F.timestamp_add("HOUR", i * 7, F.lit(dt.datetime(2001, 1, 1)).cast("timestamp_ntz")).alias("ts"), F.lit(1).cast("long").alias("product_id"),
+        F.when(i % 2 == 0, 3).otherwise(0).cast("long").alias("stock"))
+    assert incremental.sellouts(ticks).count() == N // 2
+    # No window is over the product's readings alone but the one over its years.
+    along = ticks.select("product_id", F.date_trunc("year", "ts")).distinct().count()
+    assert along < 30
+
+
 def plan(spark, sf_dir, key):
     return QUERIES[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
