@@ -99,6 +99,15 @@ def shipping_snapshot(v):
     return shipping.snapshot(v("f_ship_orders"), v("f_store_items"), v.select(SHIPMENTS), None, store_id=1)
 
 
+@query("shipping_alerts", """
+WITH o AS (SELECT *, upper(trim(coalesce(country, ''))) NOT IN ('', 'AU') AS intl, lower(service) LIKE '%express%' OR lower(service) LIKE '%next_day%' AS exp FROM f_ship_orders WHERE order_status = 'awaiting_shipment')
+SELECT 'express_intl' AS list, order_number, country, service, concat_ws(',', CASE WHEN intl THEN 'INTL' END, CASE WHEN exp THEN 'EXPRESS' END) AS flags, CAST(NULL AS VARCHAR) AS sku, CAST(NULL AS VARCHAR) AS company FROM o WHERE intl OR exp
+UNION ALL SELECT DISTINCT 'wholesale', order_number, country, service, NULL, i.sku, company FROM o JOIN f_store_items i ON i.order_id = o.order_number
+ WHERE i.sku LIKE 'WC-%' OR i.sku LIKE '%-SRT-%' OR i.sku LIKE '%-CTN-%'""")
+def shipping_alerts(v):
+    return shipping.alert_lists(v("f_ship_orders"), v("f_store_items"))
+
+
 @query("on_hold_by_store", """
 SELECT coalesce(CAST(store_id AS VARCHAR), 'unknown') AS store_id, CAST(count(*) AS BIGINT) AS orders FROM f_ship_orders WHERE order_status = 'on_hold' GROUP BY 1""")
 def on_hold_by_store(v):

@@ -60,6 +60,18 @@ def wholesale_orders(orders: DataFrame, lines: DataFrame) -> DataFrame:
     return orders.withColumn("company", buyer(orders)).join(hits, F.col("order_number") == F.col("order_id"), "left_semi")
 
 
+def alert_lists(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """The two lists of the open queue: express or international orders with their flags, and wholesale orders with a row per SKU.
+
+    An order may stand in both.  Rows: list, order_number, country, service, flags, sku, company.
+    """
+    opened = order_flags(orders.filter(F.col("order_status") == "awaiting_shipment"))
+    shown = ["order_number", "country", "service"]
+    express = opened.filter(F.size("flags") > 0).select(F.lit("express_intl").alias("list"), *shown, F.array_join("flags", ",").alias("flags"))
+    wholesale = wholesale_lines(opened, lines).select(F.lit("wholesale").alias("list"), *shown, "sku", "company")
+    return express.unionByName(wholesale, allowMissingColumns=True)
+
+
 def on_hold_by_store(orders: DataFrame) -> DataFrame:
     store = F.coalesce(F.col("store_id").cast("string"), F.lit("unknown"))
     return (
