@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import sliced, stored
 
 CHUNK = 1 << 14
 SCHEMA = "part long, chunk int, counts binary"
@@ -36,7 +36,7 @@ def summed(rows: DataFrame, add: Callable[[np.ndarray, list], None], size: int,
 
     def of_task(batches):
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in sliced(batches, 0):
             add(total, batch.column(0))
         part = TaskContext.get().partitionId()
         chunks = [packed(c) for c in total.reshape(-1, CHUNK)]

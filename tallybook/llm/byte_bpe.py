@@ -11,6 +11,7 @@ a word.  Decoding joins the binary pieces of the ids.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import struct
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import stored, table
+from .common import shared as broadcast
+from .common import sliced, stored, table
 
 #: Words in the dictionary at most.
 DICTIONARY_WORDS = 100_000
@@ -36,6 +38,8 @@ TOP_COUNT = 100_000
 #: The literal is an array of small maps, dealt by CRC-32, as a map is searched from its start.
 RANK_BUCKETS = 1 << 14
 NO_RANK = 2**31 - 1
+#: Distinct words that a task counts, or keeps the ids of, before it starts again.
+WORDS_AT_ONCE = 1 << 17
 #: Bits that hold where a piece of a folded word starts.
 START_BITS = 6
 
@@ -177,15 +181,23 @@ def _merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def word_rows(docs: DataFrame, pattern: str) -> DataFrame:
-    """word, n: how often each batch of documents holds each word; the counts of all batches add up."""
+    """word, n: how often each run of documents of a task holds each word; the counts of all runs add up."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        for batch in batches:
-            seen: Counter[str] = Counter()
+        seen: Counter[str] = Counter()
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in sliced(batches, 0):
             for text in batch.column(0):
                 seen.update(find(text.as_py() or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            if len(seen) > WORDS_AT_ONCE:
+                yield counted()
+        yield counted()
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "word string, n long")
 
@@ -233,6 +245,34 @@ class Pieces:
         return b"".join(out)
 
 
+class WordIds(dict):
+    """word -> its ids as bytes: from the dictionary, or merged here once."""
+
+    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
+        super().__init__()
+        self.known, self.ranks = known, ranks
+
+    def __missing__(self, word: str) -> bytes:
+        blob = self.known.get(word)
+        if blob is None:
+            ids = encode_rare(word.encode(), self.ranks)
+            blob = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = blob
+        return blob
+
+    def encode(self, words: list[str]) -> bytes:
+        if len(self) > WORDS_AT_ONCE:
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
+
+
+def _dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int):
+    """A broadcast of the folded words' ids and of the ranks."""
+    coded = common_words(docs, pattern, most).withColumn("ids", F.element_at(encode_words(F.array("word"), rank_literal(ranks)), 1))
+    known = {r.word: np.array(r.ids, "<u4").tobytes() for r in coded.select("word", "ids").collect()}
+    return broadcast(docs.sparkSession, (known, ranks))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
     """docs with `ids`: its text's token ids, little-endian unsigned 32-bit integers end to end.
 
@@ -241,30 +281,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary_wo
     Two things are broadcast: the dictionary, at most `dictionary_words` words of
     at most FOLD_BYTES bytes, and the vocabulary file's pieces.  Neither grows with the documents.
     """
-    spark = docs.sparkSession
     docs = docs.drop("ids")
-    coded = common_words(docs, pattern, dictionary_words).withColumn(
-        "ids", F.element_at(encode_words(F.array("word"), rank_literal(ranks)), 1)
-    )
-    known = {r.word: np.array(r.ids, "<u4").tobytes() for r in coded.select("word", "ids").collect()}
-    shared = spark.sparkContext.broadcast((known, ranks))
+    words = _dictionary(docs, ranks, pattern, dictionary_words)
     names = docs.columns
     at = names.index("text")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        have, all_ranks = shared.value
-        for batch in batches:
-            rare: dict[str, bytes] = {}
-            out = []
-            for text in batch.column(at):
-                parts = []
-                for w in find(text.as_py() or ""):
-                    blob = have.get(w) or rare.get(w)
-                    if blob is None:
-                        rare[w] = blob = struct.pack(f"<{len(i := encode_rare(w.encode(), all_ranks))}I", *i)
-                    parts.append(blob)
-                out.append(b"".join(parts))
+        find, ids_of = regex.compile(pattern).findall, WordIds(*words.value)
+        for batch in sliced(batches, at):
+            out = [ids_of.encode(find(text.as_py() or "")) for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "ids"])
 
     return docs.mapInArrow(put_together, StructType([*docs.schema.fields]).add("ids", "binary"))
@@ -273,27 +298,45 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, dictionary_wo
 def decode(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """rows with `decoded`: the pieces of `ids` joined, as binary.  Null ids decode to nothing."""
     rows = rows.drop("decoded")
-    shared = rows.sparkSession.sparkContext.broadcast(Pieces(ranks))
+    all_pieces = broadcast(rows.sparkSession, Pieces(ranks))
     names = rows.columns
     at = names.index("ids")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        for batch in batches:
+        pieces = all_pieces.value
+        for batch in sliced(batches, at):
             out = [pieces.decode(np.frombuffer(i.as_py() or b"", "<u4")) for i in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     return rows.mapInArrow(read, StructType([*rows.schema.fields]).add("decoded", "binary"))
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs.
+
+    Texts are encoded, and their ids decoded, as by encode() and decode(), but in one task that keeps neither.
+    """
     ranks = load_ranks(vocabulary)
-    coded = decode(encode(docs.select("doc_id", "text"), ranks, pattern), ranks)
-    return coded.select(
-        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    words = _dictionary(docs, ranks, pattern, DICTIONARY_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, ids_of, pieces = regex.compile(pattern).findall, WordIds(*words.value), Pieces(words.value[1])
+        for batch in sliced(batches, 1):
+            sizes, of_ids, of_bytes = [], [], []
+            for text in batch.column(1):
+                ids = ids_of.encode(find(text.as_py() or ""))
+                sizes.append(len(ids) // 4)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_bytes.append(hashlib.sha256(pieces.decode(np.frombuffer(ids, "<u4"))).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                [c.split()[0] for c in DIGESTS.split(", ")],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DIGESTS)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

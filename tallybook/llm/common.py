@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +47,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by key to as many partitions as the session shuffles to."""
     return frame.repartition(shuffle_partitions(frame.sparkSession), *[F.col(k) for k in keys])
+
+
+#: Bytes of text that a task takes apart at a time, whatever the size of a batch; one text is never cut.
+SLICE_BYTES = 1 << 22
+
+
+def sliced(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs whose texts in `column` hold about SLICE_BYTES, so that what is made from them is as small."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        step = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+        starts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(starts, starts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+    # A worker lives on after its task: what the task's texts took goes back now.
+    pa.default_memory_pool().release_unused()
+
+
+_shared: list[Broadcast] = []
+
+
+def shared(spark: SparkSession, value) -> Broadcast:
+    """A broadcast that release() takes from the executors."""
+    _shared.append(spark.sparkContext.broadcast(value))
+    return _shared[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the executors' copies of all broadcasts so far; a frame that still needs one fetches it again."""
+    while _shared:
+        old = _shared.pop()
+        if old._sc is spark.sparkContext:
+            old.unpersist()

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from .common import table
+from .common import shared as broadcast
+from .common import sliced, table
 from .words import IS_MARK, run_hashes, word_hashes
 
 K1, B = 1.2, 0.75
@@ -231,7 +232,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     def reader(shared):
         def run(batches):
             index = shared.value
-            for batch in batches:
+            for batch in sliced(batches, at):
                 out = []
                 for text, before in zip(batch.column(at).cast(pa.string()).cast(pa.binary()), batch.column(len(names))):
                     hits = index.find(text.as_py() or b"", overlap)
@@ -242,7 +243,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
         return run
 
     for index in indexes(benchmark, threshold):
-        found = found.mapInArrow(reader(spark.sparkContext.broadcast(index)), found.schema)
+        found = found.mapInArrow(reader(broadcast(spark, index)), found.schema)
     return found
 
 

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .array_sums import summed
-from .common import shuffle_partitions, stored, table
+from .common import shared as broadcast
+from .common import shuffle_partitions, sliced, stored, table
 from .components import components
 from .words import shingles
 
@@ -70,7 +71,7 @@ def describe(text: bytes | None, common: np.ndarray, words: int, similarity: tup
 
 def described(docs: DataFrame, common, words: int, similarity: tuple[int, int]) -> DataFrame:
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out = [describe(t.as_py(), common.value, words, similarity) for t in batch.column(1).cast(pa.binary())]
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
@@ -234,7 +235,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[in
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def sets(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out = [shingles(t.as_py(), words).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "shingles"])
 
@@ -246,7 +247,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[in
     of = stored(of.dropDuplicates(["doc"]), f"{name}-sets")
 
     def links(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     columns are not read.  Sets are compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_counters(docs, words))
+    common = broadcast(spark, common_counters(docs, words))
     rows = stored(described(docs, common, words, similarity), "shingle-sets")
     full = rows.where("n > 0 and doc_id is not null")
     first = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import stored, table
+from .common import shared as broadcast
+from .common import sliced, stored, table
 
 #: Distinct hashes in a shard, about, and the size up to which all shards are broadcast.
 SHARD_KEYS = 1 << 16
@@ -131,7 +132,7 @@ def line_hashes(docs: DataFrame, min_chars: int, keys: tuple[str, ...] = ("doc_i
     names = [*keys, "h1", "h2"]
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches, len(keys)):
             ids = zip(*(batch.column(i).to_pylist() for i in range(len(keys))))
             texts = batch.column(len(keys)).cast(pa.binary())
             out = [(*i, *hash_pair(k)) for i, t in zip(ids, texts) for k in _long_keys(t.as_py(), min_chars)]
@@ -176,7 +177,7 @@ def _drop(docs: DataFrame, find, extra: list[str]) -> DataFrame:
     kept_schema = StructType([docs.schema.fields[i] for i in keep]).add("n_lines", "long").add("n_dropped", "long")
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches, at_text):
             texts = [t.as_py() for t in batch.column(at_text).cast(pa.binary())]
             masks = find(batch.column(at_id).to_pylist(), texts, [batch.column(i) for i in gone])
             n_lines = [1 + (t or b"").count(b"\n") for t in texts]
@@ -304,7 +305,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     # A key takes 24 bytes and the bits of its levels.
     if n * 32 <= broadcast_bytes:
         blobs = [(r["shard"], bytes(r["index"])) for r in shards.collect()]
-        return _drop(docs, _probe_local(spark.sparkContext.broadcast(blobs), n_shards, min_chars), [])
+        return _drop(docs, _probe_local(broadcast(spark, blobs), n_shards, min_chars), [])
     return _drop(_probe_shuffled(docs, shards, n_shards, min_chars), _find_listed(min_chars), ["drop_h1", "drop_h2"])
 
 

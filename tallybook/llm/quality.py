@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .array_sums import summed
-from .common import table
+from .common import shared as broadcast
+from .common import sliced, table
 from .labelled import held_out, sample
 from .words import span_hashes
 
@@ -180,10 +181,10 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: dict
     """
     spark = docs.sparkSession
     docs = docs.drop("score")
-    vectors = spark.sparkContext.broadcast(word_vectors(docs))
+    vectors = broadcast(spark, word_vectors(docs))
 
     def features(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             x = [pooled(t.as_py() or b"", vectors.value).tolist() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
@@ -194,13 +195,13 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: dict
         net = train(np.array([r["x"] for r in learned]), np.array([float(r["label"]) for r in learned]))
     else:
         net = 1.0 if seen == {1} else 0.0 if seen == {0} else 0.5
-    shared = spark.sparkContext.broadcast(net)
+    shared = broadcast(spark, net)
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
         net = shared.value
-        for batch in batches:
+        for batch in sliced(batches, at):
             if isinstance(net, float):
                 out = np.full(batch.num_rows, net)
             else:
