@@ -2,8 +2,8 @@
 
 Both dictionaries hold the same common words; the toxic one ends in the stems that toxic texts
 have and ordinary ones lack, the ordinary one in as many bytes of further common words.  A
-window that takes fewer bytes with the toxic dictionary is nearer to toxic text.  The windows that
-save most are looked at word by word.  How much a document's windows save is turned into a
+window that takes fewer bytes with the toxic dictionary is nearer to toxic text.  All windows that
+save anything are looked at word by word.  How much a document's windows save is turned into a
 probability by a logistic curve that is fitted on documents the dictionaries weren't made from.
 """
 
@@ -18,14 +18,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared as broadcast
+from .common import sliced, table
 from .labelled import held_out, sample
 
-#: Labelled documents that are learned from at most, by label, and words of each that are looked at.
+#: Labelled documents that are learned from at most, by label, and bytes of their whole texts by label.
 TRAIN_ROWS = {0: 4000, 1: 2000}
-TRAIN_WORDS = 4000
-#: Words in a window; common words and stems in a dictionary; windows looked at word by word.
-WINDOW, COMMON_WORDS, STEMS, NEAR = 8, 3000, 600, 6
+TRAIN_BYTES = 1 << 25
+#: Words in a window; common words and stems in a dictionary.
+WINDOW, COMMON_WORDS, STEMS = 8, 3000, 600
 GRAM, LEVEL = 5, 3
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -62,8 +63,10 @@ def features(text: bytes, toxic, ordinary) -> list[float]:
     order = np.argsort(-saved, kind="stable")
     top = np.zeros(8)
     top[: min(8, len(saved))] = saved[order[:8]]
-    words = [b" " + x + b" " for i in order[:NEAR] if saved[i] > 0 for x in parts[i].split()]
-    single = np.sort([len(ordinary.compress(x)) - len(toxic.compress(x)) for x in words] or [0])[::-1].astype(float)
+    # A word is measured once a text, however often it stands in such windows.
+    words = Counter(b" " + x + b" " for i in np.flatnonzero(saved > 0) for x in parts[i].split())
+    each = np.array([len(ordinary.compress(x)) - len(toxic.compress(x)) for x in words] or [0], float)
+    single = np.sort(np.repeat(each, list(words.values()) or [1]))[::-1]
     return [
         top[0], top[:2].mean(), top[:4].mean(), top.mean(), saved.mean(), (saved >= 3).mean(), (saved >= 5).mean(),
         np.log1p((saved >= 5).sum()), np.log1p(len(saved)), single[0], single[:3].mean(), np.log1p((single >= 3).sum()),
@@ -116,28 +119,11 @@ def probability(model, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.c_[(x - mean) / deviation, np.ones(len(x))] @ w, -30, 30)))
 
 
-def _thinned(texts: DataFrame) -> DataFrame:
-    """Texts of at most about TRAIN_WORDS words: of longer ones, runs spread evenly over the whole."""
-
-    def rows(batches):
-        for batch in batches:
-            out = []
-            for t in batch.column(1):
-                words = (t.as_py() or "").lower().split()
-                if len(words) > TRAIN_WORDS:
-                    step = len(words) * 40 // TRAIN_WORDS
-                    words = [w for i in range(0, len(words), step) for w in words[i : i + 40]]
-                out.append(" ".join(words).encode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["doc_id", "text", "label"])
-
-    return texts.select("doc_id", "text", "label").mapInArrow(rows, "doc_id long, text binary, label int")
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int] = TRAIN_ROWS):
     """The two dictionary contents and the curve, or a plain probability where one of the labels is missing."""
-    learned = _thinned(sample(docs, labels, label, rows)).collect()
-    learned.sort(key=lambda r: (r["doc_id"], r["text"]))
-    by = {v: [bytes(r["text"]) for r in learned if r["label"] == v] for v in (0, 1)}
+    learned = sample(docs, labels, label, rows, TRAIN_BYTES).select("doc_id", "text", "label").collect()
+    learned = sorted((r["doc_id"], b" ".join(folded(r["text"]).split()), r["label"]) for r in learned)
+    by = {v: [t for _, t, y in learned if y == v] for v in (0, 1)}
     if not by[0] or not by[1]:
         return None, (len(by[1]) + 0.5) / (len(learned) + 1)
     # Three of five make the dictionaries, two the curve; with few rows, all do both.
@@ -158,12 +144,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: dict[i
     the curve are broadcast; their size doesn't depend on the input.
     """
     contents, model = fit(docs, labels, label, rows)
-    shared = docs.sparkSession.sparkContext.broadcast((contents, model))
+    shared = broadcast(docs.sparkSession, (contents, model))
 
     def run(batches):
         contents, model = shared.value
         pair = make_pair(*contents) if contents else None
-        for batch in batches:
+        for batch in sliced(batches, 1):
             if pair is None:
                 out = np.full(batch.num_rows, model)
             else:
