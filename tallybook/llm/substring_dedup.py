@@ -1,7 +1,7 @@
 """Repeated passages, found by hashes of sliding sentence spans and cut from all documents but the first.
 
-From every sentence the shortest run that has RUN sentences and RUN_WORDS words is hashed, and
-single sentences that are long.  The hashes meet in one join over all documents; what goes through it is a hash and a document id.
+The shortest runs that have RUN sentences and RUN_WORDS words are hashed, both from and up to every sentence, so that
+the last sentences of a passage are in one too, and single sentences that are long.  The hashes meet in one join over all documents; what goes through it is a hash and a document id.
 Repeats inside one document are seen in its own task.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import stored, table
+from .common import sliced, stored, table
 from .words import RUN_BASE, RUN_BASE_BACK, mix, span_hashes, word_hashes
 
 #: Sentences and words a run needs at least, and the words that make a sentence a span by itself.
@@ -43,22 +43,26 @@ def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def spans(n_words: np.ndarray, hashes: np.ndarray, run: int, run_words: int, lone_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First sentence, number of sentences and hash of every span."""
+    n = len(hashes)
     total = np.concatenate(([0], np.cumsum(n_words)))
-    begin = np.arange(len(hashes))
-    end = np.maximum(begin + run, np.searchsorted(total, total[:-1] + run_words))
-    at = np.flatnonzero(end <= len(hashes))
+    here = np.arange(n)
+    # From a sentence on, and back from one; a run found both ways is one span.
+    end = np.maximum(here + run, np.searchsorted(total, total[:-1] + run_words))
+    begin = np.minimum(here + 1 - run, np.searchsorted(total, total[1:] - run_words, side="right") - 1)
+    both = np.concatenate((here[end <= n] * (n + 1) + end[end <= n], (begin * (n + 1) + here + 1)[begin >= 0]))
+    at, end = np.divmod(np.unique(both), n + 1)
     lone = np.flatnonzero(n_words >= lone_words)
     with np.errstate(over="ignore"):
-        runs = span_hashes(hashes, at, end[at], RUN_BASE, RUN_BASE_BACK)
+        runs = span_hashes(hashes, at, end, RUN_BASE, RUN_BASE_BACK)
         out = np.concatenate((runs, mix(hashes[lone] + np.uint64(1))))
-    return np.concatenate((at, lone)), np.concatenate((end[at] - at, np.ones(len(lone), np.int64))), out
+    return np.concatenate((at, lone)), np.concatenate((end - at, np.ones(len(lone), np.int64))), out
 
 
 def span_rows(docs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """h, doc_id: the distinct span hashes of each document row."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             hashes, ids = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 _, n_words, of = sentences(t.as_py() or b"")
@@ -102,7 +106,8 @@ def drop_repeated_spans(docs: DataFrame, run: int = RUN, run_words: int = RUN_WO
     """docs with repeated spans cut from `text`, and n_sentences (before) and n_removed.
 
     A span is repeated if another document with a smaller doc_id holds it, or an earlier place of
-    the same text.  All sentences that a repeated span covers go, with the white space after them.
+    the same text.  All sentences that a repeated span covers go, with the white space after them.  A passage of RUN sentences and
+    RUN_WORDS words or more goes whole, wherever it stands; texts are read whole, however long.  An empty table stays empty.
     Null texts stay null and have no sentences.  Rows with the same doc_id count as one document, so copies
     of a row keep the same; a row without a doc_id is compared with itself only.  Other columns are
     carried along, but for those named like the ones added.
@@ -123,7 +128,7 @@ def drop_repeated_spans(docs: DataFrame, run: int = RUN, run_words: int = RUN_WO
     at = names.index("text")
 
     def rows_out(batches):
-        for batch in batches:
+        for batch in sliced(batches, at):
             done = [
                 cut(t.as_py(), r.as_py(), shape) for t, r in zip(batch.column(at).cast(pa.binary()), batch.column(len(names)))
             ]
@@ -154,7 +159,9 @@ sent AS (SELECT n, doc_id, s, count(*) AS n_words, string_agg(item, '' ORDER BY
          FROM numbered GROUP BY n, doc_id, s),
 upto AS (SELECT *, sum(n_words) OVER (PARTITION BY n ORDER BY s) AS upto FROM sent),
 runs AS (SELECT a.n, a.doc_id, a.s, min(b.s) AS last_s FROM upto a CROSS JOIN range({RUN} - 1, {RUN} + {RUN_WORDS}) r(more) JOIN upto b ON b.n = a.n AND b.s = a.s + r.more
-         WHERE b.upto - a.upto + a.n_words >= {RUN_WORDS} GROUP BY 1, 2, 3),
+         WHERE b.upto - a.upto + a.n_words >= {RUN_WORDS} GROUP BY 1, 2, 3
+         UNION SELECT a.n, a.doc_id, max(b.s), a.s FROM upto a CROSS JOIN range({RUN} - 1, {RUN} + {RUN_WORDS}) r(more) JOIN upto b ON b.n = a.n AND b.s = a.s - r.more
+         WHERE a.upto - b.upto + b.n_words >= {RUN_WORDS} GROUP BY a.n, a.doc_id, a.s),
 run_at AS (SELECT *, unnest(range(s::bigint, last_s::bigint + 1)) AS at FROM runs),
 spans AS (SELECT r.n, r.doc_id, r.s, r.last_s, string_agg(t.key, ' / ' ORDER BY t.s) AS span FROM run_at r JOIN sent t ON t.n = r.n AND t.s = r.at GROUP BY 1, 2, 3, 4
           UNION ALL SELECT n, doc_id, s, s, key FROM sent WHERE n_words >= {LONE_WORDS}),
