@@ -244,7 +244,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: tuple[in
         .join(wanted, "doc_id", "left_semi")
         .mapInArrow(sets, "doc long, shingles binary")
     )
-    of = stored(of.dropDuplicates(["doc"]), f"{name}-sets")
+    # A doc_id that repeats has the sets of all its texts, and links if one of them does.
+    of = stored(of.dropDuplicates(["doc", "shingles"]), f"{name}-sets")
 
     def links(batches):
         for batch in sliced(batches, 2):
@@ -282,8 +283,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     Words are what stands between ASCII white space, A-Z lower-cased; a set holds the distinct runs of
     `words` words, or the whole text as one run if it is shorter.  Documents link when
     whole * overlap >= part * union.  Null and empty texts have no set and link with nothing; all
-    texts with equal sets link.  Rows that repeat a doc_id are one document each to themselves
-    but share their classes.  A row without a doc_id has its n_shingles and a null component.  Other
+    texts with equal sets link.  Rows that repeat a doc_id are one document: what links with one
+    of its texts is in its class.  A row without a doc_id has its n_shingles and a null component.  An empty table stays empty.  Other
     columns are not read.  Sets are compared by 64-bit hashes of their shingles.
     """
     spark = docs.sparkSession
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     points = stored(
         full.join(placed.select("doc").distinct(), full["doc_id"] == F.col("doc"), "left_semi")
         .select(F.col("doc_id").alias("doc"), "n", "vector")
-        .dropDuplicates(["doc"]),
+        .dropDuplicates(["doc", "n", "vector"]),
         "points",
     )
 
@@ -334,7 +335,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: tuple[int,
     # A star's pair that didn't link doesn't need another look.
     more = more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     crossing = verified(more, docs, words, similarity, "blocks")
-    final = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(crossing), "classes")
+    # The texts of a doc_id that repeats are one document: their classes meet in it.
+    several = members.groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z")
+    same = members.join(several, "doc_id").where("doc > a").select("a", F.col("doc").alias("b"))
+    edges = classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(crossing).unionByName(same)
+    final = components(edges, "classes")
 
     # Copies of a document's row have one entry here.
     found = members.join(final.withColumnRenamed("node", "doc"), "doc", "left").select(
