@@ -11,7 +11,10 @@ from tallybook.sources import marketplace, parse, store
 
 
 def _export_folder(v):
-    """Both conventions as files, comma and tab separated, with number texts no importer takes, a file that lacks columns and an empty one."""
+    """Both conventions, comma and tab separated, with number texts no importer takes, one that lacks columns and an empty file.
+
+    A large export comes in parts, each with its header: the rows of a part follow those of the parts before it by name.
+    """
     path = work_dir(v.spark, "exports")
     titled, hyphened = marketplace_files(v)
 
@@ -20,12 +23,12 @@ def _export_folder(v):
         odd = F.pmod(F.crc32(F.col(order).cast("binary")), F.lit(4))
         return rows.withColumns({
             quantity: F.when(odd == 1, "12abc").when(odd == 2, F.concat(F.lit(" "), quantity)).otherwise(F.col(quantity)),
-            price: F.when(odd == 1, "1,234.50").otherwise(F.col(price))}).repartitionByRange(1, "position").sortWithinPartitions("position").drop("position")
+            price: F.when(odd == 1, "1,234.50").otherwise(F.col(price))}).repartitionByRange("position").sortWithinPartitions("position").drop("position")
 
     files = (
         ("a-titled", ",", spoiled(titled, "Amazon Order Id", "Dispatched Quantity", "Item Price")),
         ("b-hyphened", "\t", spoiled(hyphened, "amazon-order-id", "quantity-shipped", "item-price")),
-        ("c-other", ",", v("part").select(s("p_partkey").alias("sku"), F.lit("x").alias("note")).coalesce(1)),
+        ("c-other", ",", v("part").select(s("p_partkey").alias("sku"), F.lit("x").alias("note"))),
     )
     for name, sep, rows in files:
         rows.write.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", False).csv(f"{path}/{name}")
@@ -57,7 +60,7 @@ SELECT * FROM (VALUES ('a-titled', ',', ''), ('b-hyphened', chr(9), ''), ('c-oth
 WHERE (SELECT count(*) FROM x_mkt_csv) > 0""")
 def export_folder_files(v):
     _, files = marketplace.read_export_folder(v.spark, _export_folder(v))
-    return files.select(F.element_at(F.split("file", "/"), -2).alias("folder"), "delimiter", F.array_join("missing", ",").alias("missing"))
+    return files.select(F.element_at(F.split("file", "/"), -2).alias("folder"), "delimiter", F.array_join("missing", ",").alias("missing")).distinct()
 
 
 def _delivered(v):

@@ -29,13 +29,13 @@ class Kind:
 def first_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, header of every export below a folder: the first line, without a byte order mark; null for a blank one.  A file of no bytes isn't listed.
 
-    The files are read as lines once, and each task keeps one line per file.
+    The files are read as lines once, and of those each task keeps one line per file; only lines of a file's first block are compared.
     """
     scan = spark.read.option("recursiveFileLookup", True)
     names = scan.format("binaryFile").load(path).select(F.col("path").alias("file")).filter(F.regexp_like(F.element_at(F.split("file", "/"), -1), F.lit(NAMES)))
     lines = scan.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
-    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    firsts = lines.filter(F.col("at.file_block_start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("line"))
     here, there = F.regexp_replace("file", "^file:/+", "/"), F.regexp_replace(F.url_decode(F.regexp_replace("f", r"\+", "%2B")), "^file:/+", "/")
     firsts = firsts.withColumnRenamed("file", "f").select(there.alias("key"), "line")
     return names.withColumn("key", here).join(firsts, "key", "left").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.catalog import folders as queries
 from tallybook.sources import folders, marketplace, parse
 
 TITLED = "Amazon Order Id,Purchase Date,Merchant SKU,Title,Dispatched Quantity,Item Price,Currency"
@@ -81,3 +82,40 @@ def test_rejects_keep_the_raw_text(spark):
     assert sorted((r["file"], r["reason"], r["raw"]) for r in rejects.collect()) == [
         (f"f{i}", "no key" if i == 2 else "broken", raw[i]) for i in (1, 2, 3, 4, 5, 6)]
     assert good.columns == ["file", "id", "n"] and folders.NAMES
+
+
+class Given:
+    """Inputs of given rows in place of the test tables."""
+
+    def __init__(self, spark, **frames):
+        self.spark, self.frames = spark, frames
+
+    def __call__(self, name):
+        return self.frames[name]
+
+
+@pytest.fixture()
+def export_inputs(spark):
+    n = F.col("id")
+    rows = spark.range(4000).select(
+        (n % 2).alias("file_no"), F.lpad(n.cast("string"), 5, "0").alias("sort_text"), n.cast("string").alias("order_id"), F.concat(F.lit("i"), (n % 1000).cast("string")).alias("item_id"),
+        F.lit("2026-03-15").cast("date").alias("day"), F.lit(4).alias("hour"), F.lit(False).alias("bad_date"), F.lit("AU-A-35").alias("sku"), (n % 9).alias("quantity"),
+        F.lit("AUD").alias("currency"), F.lit("AU").alias("country"), F.lit("1.50").cast("decimal(18,2)").alias("item_price"), F.lit(0).cast("decimal(18,2)").alias("shipping"))
+    # Without coalescing, small ranges stay apart as large ones do.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield Given(spark, x_mkt_csv=rows, part=spark.range(10).select(F.col("id").alias("p_partkey")))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_an_export_of_many_parts(spark, export_inputs):
+    path = queries._export_folder(export_inputs)
+    frames, files = marketplace.read_export_folder(spark, path)
+    parts = files.groupBy(F.element_at(F.split("file", "/"), -2).alias("folder")).count().collect()
+    assert {r["folder"]: r["count"] for r in parts if r["folder"] < "c"} == {"a-titled": 8, "b-hyphened": 8}
+    items = marketplace.csv_items(marketplace.csv_rows(frames)).select(F.col("order_id").cast("int").alias("o")).collect()
+    # The first of each item's four rows, by file and row over all parts.
+    assert sorted(r["o"] for r in items) == list(range(1000))
+    got = queries.export_folder_files(export_inputs).collect()
+    assert sorted((r["folder"], r["delimiter"], r["missing"]) for r in got) == [
+        ("a-titled", ",", ""), ("b-hyphened", "\t", ""), ("c-other", ",", "order_id,purchase_date,quantity,item_price,currency"),
+        ("d-empty", None, "order_id,purchase_date,sku,quantity,item_price,currency")]
