@@ -16,6 +16,8 @@ STEPS = (2, 3, 5, 8, 13)
 #: Where a file of orders ends and the next begins, and the looks at a day.
 CUTS = (dt.date(1994, 7, 1), dt.date(1997, 1, 1), dt.date(1999, 7, 1))
 LOOKS = 3
+#: A file is read in blocks of this size, each by any task.
+BLOCK_BYTES = 8 << 20
 #: A look brings all days of a stretch, so days stay open as long.
 STRETCH_DAYS = 2000
 
@@ -26,7 +28,12 @@ def _orders(v):
 
 def _arrive(rows, path):
     """One more file; the file source takes files in the order they were written."""
-    rows.coalesce(1).write.mode("append").parquet(path)
+    rows.coalesce(1).write.mode("append").option("parquet.block.size", BLOCK_BYTES).parquet(path)
+
+
+def _arrive_in_parts(rows, path):
+    """One more delivery, of any number of files."""
+    rows.write.mode("append").option("parquet.block.size", BLOCK_BYTES).parquet(path)
 
 
 def _looks(v, path):
@@ -119,7 +126,7 @@ _VERSION = "id long, market string, status string, date_modified string"
 SELECT id, market, CASE WHEN id % 10 = 0 THEN 'late' WHEN id % 4 = 0 THEN 'refunded' WHEN id % 6 = 0 THEN 'on-hold' ELSE status END AS status,
  CASE WHEN id % 10 = 0 OR id % 4 = 0 THEN substr(date_created, 1, 10) || 'T23:59:59' ELSE date_created END AS date_modified FROM f_store_orders""")
 def stream_order_versions(v):
-    """Five files: all orders, some changed, some as an older copy, some changed on a tied clock, some changed again on a tied clock."""
+    """Five deliveries, each of many files and landed by a run of its own: all orders, some changed, some as an older copy, some changed on a tied clock, some changed again on a tied clock."""
     path = work_dir(v.spark, "stream-versions")
     orders, k = v("f_store_orders"), F.col("id")
     created, night = F.col("date_created"), F.concat(F.substring("date_created", 1, 10), F.lit("T23:59:59"))
@@ -127,6 +134,6 @@ def stream_order_versions(v):
         (k >= 0, F.col("status"), created), (k % 4 == 0, F.lit("refunded"), night), (k % 8 == 0, F.lit("stale"), F.lit("1990-01-01T00:00:00")),
         (k % 6 == 0, F.lit("on-hold"), created), (k % 10 == 0, F.lit("late"), night),
     ):
-        _arrive(orders.filter(which).select("id", "market", status.alias("status"), modified.alias("date_modified")), f"{path}/in")
-    streams.upsert_versions(streams.read_files(v.spark, f"{path}/in", _VERSION, files_per_batch=1), path, fold_every=2)
+        _arrive_in_parts(orders.filter(which).select("id", "market", status.alias("status"), modified.alias("date_modified")), f"{path}/in")
+        streams.upsert_versions(streams.read_files(v.spark, f"{path}/in", _VERSION), path, fold_every=2)
     return tables.read_versions(v.spark, path, _VERSION, "id", "date_modified").drop("arrival")

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tallybook.catalog import streams
 from tallybook.operators import incremental
 from tallybook.streaming import jobs, tables
 from tallybook.testviews import Inputs
@@ -142,6 +143,23 @@ def test_days_are_forgotten_when_they_have_ended(spark, tmp_path):
     assert [r["local_date"].day for r in kept] == [10]
 
 
+def test_deliveries_of_many_files(spark):
+    class Given:
+        def __call__(self, name):
+            return spark.range(0, 400, 1, 4).select("id", F.lit("AU").alias("market"), F.lit("new").alias("status"), F.lit("2026-01-01T10:00:00").alias("date_created"))
+
+    given = Given()
+    given.spark = spark
+    got = streams.stream_order_versions(given)
+    # Five deliveries are five batches, though each came as four files.
+    folders = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
+    assert folders == {"batch=3", "batch=4"}
+    landed = f"{got.inputFiles()[0].split('stream-versions-')[0]}stream-versions-{got.inputFiles()[0].split('stream-versions-')[1].split('/')[0]}/in"
+    assert len(spark.read.parquet(landed).inputFiles()) == 20
+    status = {r["id"]: r["status"] for r in got.collect()}
+    assert len(status) == 400 and (status[1], status[4], status[6], status[8], status[20]) == ("new", "refunded", "on-hold", "refunded", "late")
+
+
 def test_versions_over_folds_and_a_restart(spark, tmp_path):
     schema = "id long, status string, date_modified string"
     batches = [
