@@ -96,3 +96,12 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "l_extendedprice" not in counts and "l_quantity" not in counts
     po = plan(spark, sf_dir, "fully_received_pos")
     assert "l_extendedprice" not in po
+
+
+def test_a_table_of_millions_of_keys_is_not_broadcast(spark, tmp_path):
+    """Keys in order are small in files and large in memory."""
+    path = str(tmp_path / "keys")
+    spark.range(2_000_000).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b")).repartition(1).sortWithinPartitions("id").write.parquet(path)
+    keys = spark.read.parquet(path).select("id")
+    text = keys.join(keys.withColumnRenamed("id", "other"), F.col("id") == F.col("other"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text
