@@ -16,6 +16,11 @@ JOB_CONF = {
     # Split a hot join key even when the split costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A task takes about this much of a scan or a shuffle, however large the tables and whatever number
+    # of shuffle partitions the cluster sets: its memory doesn't grow with the input.
+    "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
     # Keys in order take an eighth of their size in files: a table is broadcast by the size of its rows.
     "spark.sql.sources.fileCompressionFactor": "8.0",
     # Late rows are counted over all batches of a run.

@@ -81,7 +81,9 @@ def with_rejects(raw: DataFrame, schema: str, key: str = "id", column: str = "va
     reason and the raw text, so they can be counted, mended and sent again.
     """
     others = [c for c in raw.columns if c != column]
-    parsed = raw.withColumn("_d", F.from_json(column, f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    document = F.from_json(column, f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    # Behind a generator: parsed once.
+    parsed = raw.select("*", F.explode(F.array(document)).alias("_d"))
     broken = F.col("_d").isNull() | F.col("_d._broken").isNotNull()
     reason = F.when(broken, "broken").when(F.col(f"_d.{key}").isNull(), "no key")
     tagged = parsed.withColumn("_reason", reason)

@@ -98,6 +98,13 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "l_extendedprice" not in po
 
 
+def test_shuffled_parts_stay_small(spark):
+    """More rows are more tasks, whatever the number of shuffle partitions."""
+    rows = spark.range(1_500_000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 512)).alias("x"), F.unhex(F.sha2((-F.col("id")).cast("string"), 512)).alias("y"))
+    tasks = rows.repartition(F.col("id")).groupBy(F.spark_partition_id()).agg(F.max("x"), F.max("y")).collect()
+    assert len(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_table_of_millions_of_keys_is_not_broadcast(spark, tmp_path):
     """Keys in order are small in files and large in memory."""
     path = str(tmp_path / "keys")
