@@ -15,9 +15,12 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def from_text(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
-    """Documents held as JSON text in one column; other columns are kept."""
+    """Documents held as JSON text in one column; other columns are kept.
+
+    A text is parsed once: filters on fields stay behind the generator, where they would take the parse with them into scans and joins.
+    """
     others = [c for c in raw.columns if c != column]
-    return raw.select(*others, F.from_json(column, schema).alias("d")).select(*others, "d.*")
+    return raw.select(*others, F.inline(F.array(F.from_json(column, schema))))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "utf-8", schema: StructType | None = None) -> DataFrame:
@@ -82,7 +85,7 @@ def with_rejects(raw: DataFrame, schema: str, key: str = "id", column: str = "va
     """
     others = [c for c in raw.columns if c != column]
     document = F.from_json(column, f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    # Behind a generator: parsed once.
+    # As in from_text, behind a generator: parsed once.
     parsed = raw.select("*", F.explode(F.array(document)).alias("_d"))
     broken = F.col("_d").isNull() | F.col("_d._broken").isNotNull()
     reason = F.when(broken, "broken").when(F.col(f"_d.{key}").isNull(), "no key")

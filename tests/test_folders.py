@@ -119,3 +119,14 @@ def test_an_export_of_many_parts(spark, export_inputs):
     assert sorted((r["folder"], r["delimiter"], r["missing"]) for r in got) == [
         ("a-titled", ",", ""), ("b-hyphened", "\t", ""), ("c-other", ",", "order_id,purchase_date,quantity,item_price,currency"),
         ("d-empty", None, "order_id,purchase_date,sku,quantity,item_price,currency")]
+
+
+def test_documents_are_parsed_once(spark):
+    raw = spark.createDataFrame([('{"id": 1, "n": "a"}',), (None,), ("{",)], "value string")
+    read = parse.from_text(raw.repartition(2), "id long, n string")
+    some = read.filter((F.col("id") > 0) & (F.lower("n") == "a"))
+    good, rejects = parse.with_rejects(raw.repartition(2), "id long, n string")
+    for frame in (some, good, rejects):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert read.count() == 3 and [tuple(r) for r in some.collect()] == [(1, "a")]
+    assert [tuple(r) for r in good.collect()] == [(1, "a")] and rejects.count() == 2
