@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,7 +270,12 @@ class WordIds(dict):
 def _dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int):
     """A broadcast of the folded words' ids and of the ranks."""
     coded = common_words(docs, pattern, most).withColumn("ids", F.element_at(encode_words(F.array("word"), rank_literal(ranks)), 1))
-    known = {r.word: np.array(r.ids, "<u4").tobytes() for r in coded.select("word", "ids").collect()}
+    # By Arrow: a row of Python objects for each word and id would take the driver many times their bytes.
+    known: dict[str, bytes] = {}
+    for batch in coded.select("word", "ids").toArrow().to_batches():
+        ids = batch.column("ids")
+        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))
+        known.update((word.as_py(), part.tobytes()) for word, part in zip(batch.column("word"), np.split(flat, ends[:-1])))
     return broadcast(docs.sparkSession, (known, ranks))
 
 
