@@ -1,13 +1,15 @@
 """Landing jobs, fed with documents and files Spark makes from the tables.
 
 A document carries a whole order with all its lines, and some are delivered again.
-A document's lines are put together by parts, so a huge order is spread until its last step.
+Lines and orders are moved in the tables' own few columns; what is made from them is made behind the shuffle.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallybook.catalog.base import AS_OF, SQL_ALIAS, query, sql_base, sql_pack, sql_regional
@@ -32,15 +34,26 @@ def s(col):
     return F.col(col).cast("string")
 
 
-PARTS = 16
+def line_rows(v, view, *columns):
+    """Columns of a view over lines and codes.  What a line alone gives is worked out before the join, in fewer bytes than it is made of."""
+    made = {c: e for c, e in VIEWS[view][1] if c in columns}
+    own = {c: e for c, e in made.items() if set(re.findall(r"\bl_\w+", e)) - {"l_partkey"}}
+    lines = v("lineitem").select("l_partkey", *[F.expr(e).alias(c) for c, e in own.items()])
+    joined = lines.join(v("f_code"), F.col("l_partkey") == F.col("part_id"))
+    return joined.select(*[c if c in own else F.expr(made[c]).alias(c) for c in columns])
 
 
 def by_document(lines, *keys):
-    """keys, lines: all lines of a document in one array, first by (document, part), then by document."""
+    """keys, lines: all lines of a document in one array.  Lines move as rows: an array for each line would take more."""
     rest = [c for c in lines.columns if c not in keys]
-    part = F.pmod(F.xxhash64(*lines.columns), F.lit(PARTS)).alias("part")
-    parts = lines.groupBy(*keys, part).agg(F.collect_list(F.struct(*rest)).alias("some"))
-    return parts.groupBy(*keys).agg(F.flatten(F.collect_list("some")).alias("lines"))
+    return lines.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("lines"))
+
+
+def with_lines(v, view, items):
+    """Rows of a view over the orders alone, each with its lines and the number of its copies (rows with its key)."""
+    copies = F.count("*").over(Window.partitionBy("o_orderkey")).alias("copies")
+    o = v("orders").select("*", copies).join(items, F.col("o_orderkey") == F.col("order_id"), "left")
+    return o.select(*[F.expr(e).alias(c) for c, e in VIEWS[view][1]], F.coalesce("lines", F.array()).alias("lines"), "copies")
 
 
 def deliveries(docs, variants):
@@ -51,10 +64,13 @@ def deliveries(docs, variants):
 
 # --- store -------------------------------------------------------------------
 
-def store_documents(v):
+def store_texts(v):
     """Deliveries of every order with its lines and gifts: all once, some again changed, late, on a tied clock, or as an exact copy."""
-    items = by_document(v("f_store_items").select("order_id", "sku", "name", "quantity", s("total").alias("total")), "order_id")
-    o, k = v("f_store_orders").join(items, F.col("id") == F.col("order_id"), "left"), F.col("id")
+    items = by_document(line_rows(v, "f_store_items", "order_id", "sku", "name", "quantity", "total"), "order_id")
+    o, k = with_lines(v, "f_store_orders", items), F.col("id")
+    # The view joins its lines with the orders: a line is there once for each copy of its order.
+    each = F.when(F.col("copies") == 1, F.col("lines")).otherwise(F.flatten(F.array_repeat("lines", F.col("copies").cast("int"))))
+    o = o.withColumn("lines", each)
 
     def delivery(which, arrival, status, modified, more, gifts):
         return which, {"arrival": F.lit(arrival), "status": status, "modified": modified, "more": F.lit(more), "gifts": F.lit(gifts)}
@@ -69,14 +85,18 @@ def store_documents(v):
         delivery(k % 6 == 0, 0, known, created, 0, 1),
     ))
     gift = F.struct(none.alias("sku"), F.lit("Gift").alias("name"), F.lit("1").alias("quantity"), none.alias("total"))
-    line = F.transform(F.coalesce("lines", F.array()), lambda li: F.struct(
+    line = F.transform("lines", lambda li: F.struct(
         li["sku"].alias("sku"), li["name"].alias("name"), F.concat((li["quantity"] + F.col("d.more")).cast("string"), F.lit(".0")).alias("quantity"),
-        li["total"].alias("total")))
+        li["total"].cast("string").alias("total")))
     docs = docs.select(
         "market", "d.arrival", "id", F.when(k % 7 != 0, F.col("number")).alias("number"), "d.status",
         "date_created", F.col("d.modified").alias("date_modified"), s("total").alias("total"), F.when(k % 5 != 0, F.col("currency")).alias("currency"),
         F.concat(line, F.array_repeat(gift, F.col("d.gifts"))).alias("line_items"))
-    return from_text(as_text(docs, ("market", "arrival")), store.ORDER_SCHEMA)
+    return as_text(docs, ("market", "arrival"))
+
+
+def store_documents(v):
+    return from_text(store_texts(v), store.ORDER_SCHEMA)
 
 
 @query("land_store_orders", """

@@ -28,18 +28,17 @@ def first_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return _one_per_key(rows, keys, order, F.min)
 
 
-def newest_documents(documents: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Whole documents, one per key: the delivery with the highest order.
+def newest_documents(documents: DataFrame, key: str, order: list[Column], wanted: list[str] | None = None) -> DataFrame:
+    """Documents, one per key: the key and what is wanted of the delivery with the highest order.
 
-    The winner is found over a narrow struct and joined back, so no document
-    is shuffled through an aggregate.  Ties break on the content, and exact
-    copies count once.  Documents without a key are left out.
+    Deliveries are reduced to one per key and task before the only shuffle, so a document moves
+    once at most, and all that is read from the result shares that shuffle.  Ties break on the
+    whole content, wanted or not, and exact copies count once.  Documents without a key are left out.
     """
+    wanted = wanted or [c for c in documents.columns if c != key]
     version = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*documents.columns).alias("content"))
-    ranked = documents.withColumn("_version", version)
-    newest = ranked.groupBy(F.col(key).alias("_key")).agg(F.max("_version").alias("_newest"))
-    kept = ranked.join(newest, (F.col(key) == F.col("_key")) & (F.col("_version") == F.col("_newest")))
-    return kept.dropDuplicates([key]).drop("_version", "_key", "_newest")
+    newest = documents.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*wanted), version).alias("_newest"))
+    return newest.select(key, "_newest.*")
 
 
 def arrival(documents: DataFrame) -> Column:

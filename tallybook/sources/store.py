@@ -22,26 +22,29 @@ def market_currency(market: Column) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(MARKET_CURRENCY.items())])[market]
 
 
-def land_orders(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def land_orders(documents: DataFrame, with_lines: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(orders, lines) of documents tagged with their market.
 
     The local date is cut from the store's own clock text, never converted.
     An order delivered again replaces its header and all its lines: the copy
-    modified last counts, then the one that arrived last.
+    modified last counts, then the one that arrived last.  Where only the orders
+    are wanted, the lines of the documents need not be moved.
     """
-    documents = newest_documents(documents, "id", [F.coalesce("date_modified", "date_created"), arrival(documents)])
-    heads = documents.select(
+    wanted = ["market", "number", "status", "date_created", "total", "currency", *(["line_items"] if with_lines else [])]
+    documents = newest_documents(documents, "id", [F.coalesce("date_modified", "date_created"), arrival(documents)], wanted)
+    local_date = calendar.leading_date(F.col("date_created")).alias("local_date")
+    orders = documents.select(
         "id", "market",
         F.coalesce(F.nullif("number", F.lit("")), F.col("id").cast("string")).alias("number"),
         F.coalesce(F.nullif("status", F.lit("")), F.lit("unknown")).alias("status"),
         F.coalesce("date_created", F.lit("")).alias("date_created"),
-        calendar.leading_date(F.col("date_created")).alias("local_date"),
+        local_date,
         number(F.col("total")).alias("total"),
         F.coalesce(F.nullif("currency", F.lit("")), market_currency(F.col("market"))).alias("currency"),
-        "line_items",
     )
-    orders = heads.drop("line_items")
-    lines = heads.select(F.col("id").alias("order_id"), "market", "local_date", F.explode("line_items").alias("li")).select(
+    if not with_lines:
+        return orders, None
+    lines = documents.select(F.col("id").alias("order_id"), "market", local_date, F.explode("line_items").alias("li")).select(
         "order_id", "market", F.nullif("li.sku", F.lit("")).alias("sku"), F.nullif("li.name", F.lit("")).alias("name"),
         whole(F.col("li.quantity")).alias("quantity"), number(F.col("li.total")).alias("total"), "local_date")
     return orders, lines
