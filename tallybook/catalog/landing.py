@@ -314,8 +314,8 @@ _ERP_AGAIN = "2030-01-01T00:00:00Z"
 
 def erp_order_documents(v):
     """Deliveries of every order with its lines and fees: all once, some again changed, late, or as an exact copy."""
-    items = by_document(v("f_erp_lines").drop("line_no"), "order_id")
-    o, k = v("f_erp_orders").join(items, F.col("id") == F.col("order_id"), "left"), F.col("id")
+    items = by_document(line_rows(v, "f_erp_lines", "order_id", "parent_id", "code", "uom_size", "qty", "unit_price", "total", "name"), "order_id")
+    o, k = with_lines(v, "f_erp_orders", items), F.col("id")
 
     def delivery(which, arrival, modified, more, fees):
         return which, {"arrival": F.lit(arrival), "modified": modified, "more": F.lit(more), "fees": F.lit(fees)}
@@ -332,7 +332,7 @@ def erp_order_documents(v):
             price.cast("decimal(18,6)").alias("unitPrice"), total.cast("decimal(18,2)").alias("total"))
 
     fee = line(F.lit(0).cast("long"), F.lit("196"), F.lit("Tin"), F.lit(48), F.lit(48), F.lit(1), F.lit(5))
-    real = F.transform(F.coalesce("lines", F.array()), lambda li: line(
+    real = F.transform("lines", lambda li: line(
         li["parent_id"], li["code"], li["name"], li["qty"] + F.col("d.more"), li["uom_size"], li["unit_price"], li["total"]))
     docs = docs.select(
         "d.arrival", "id", "reference", "company", "channel", F.when(k % 37 != 0, F.col("status")).alias("status"),

@@ -43,7 +43,8 @@ def _land(documents: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     dated = documents.withColumns({
         "created_date": F.coalesce(created, modified), "modified_date": F.coalesce(modified, created), **present,
     }).filter(F.col("created_date").isNotNull())
-    dated = newest_documents(dated, "id", [F.col("modified_date"), arrival(documents)])
+    wanted = ["reference", "company", "status", "total", "created_date", "modified_date", *(present if kind == "sales" else []), "lineItems"]
+    dated = newest_documents(dated, "id", [F.col("modified_date"), arrival(documents)], wanted)
     shared = [
         "id", _filled("reference").alias("reference"), _filled("company").alias("company"),
         F.coalesce(_filled("status"), F.lit("UNKNOWN")).alias("status"), F.coalesce("total", F.lit(0).cast(MONEY)).alias("total"),

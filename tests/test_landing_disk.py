@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallybook.catalog import folders as folder_queries
 from tallybook.catalog import landing
 from tallybook.operators import maintain
-from tallybook.sources import parse, store
+from tallybook.sources import erp, parse, store
 from tallybook.testviews import Inputs
 
 
@@ -97,3 +97,18 @@ def test_files_of_documents_are_compressed(spark, sf_dir, tmp_path, monkeypatch)
     assert folder_queries.land_store_rejects(Inputs(spark, sf_dir)).count() == 9
     text = spark.read.parquet(str(tmp_path / "documents")).agg(F.sum(F.length("value"))).first()[0]
     assert 0 < sum(f.stat().st_size for f in (tmp_path / "documents").rglob("*.parquet")) < text / 3
+
+
+def test_erp_lines_are_moved_twice_and_orders_once(unhelped, sf_dir):
+    documents = landing.erp_order_documents(Inputs(unhelped, sf_dir))
+    assert shuffles(documents) == 4
+    # The documents themselves move once more, for headers and lines alike.
+    heads, lines = erp.land_orders(documents)
+    assert shuffles(heads) == shuffles(lines) == 5
+
+
+def test_repeated_orders_and_parts_repeat_erp_lines_by_part_alone(repeated):
+    got = landing.erp_order_documents(repeated).filter("arrival = 0 AND id < 4").collect()
+    lines = Counter((d["id"], li["code"], int(li["qty"]), int(li["unitPrice"])) for d in got for li in d["lineItems"] if li["code"] != "196")
+    assert lines == {(1, "AU-A-35", 1, 901): 2, (1, "", 2, 902): 4, (2, "AU-A-35", 3, 901): 1}
+    assert sorted(d["id"] for d in got) == [1, 1, 2, 3]
