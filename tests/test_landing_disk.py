@@ -112,3 +112,13 @@ def test_repeated_orders_and_parts_repeat_erp_lines_by_part_alone(repeated):
     lines = Counter((d["id"], li["code"], int(li["qty"]), int(li["unitPrice"])) for d in got for li in d["lineItems"] if li["code"] != "196")
     assert lines == {(1, "AU-A-35", 1, 901): 2, (1, "", 2, 902): 4, (2, "AU-A-35", 3, 901): 1}
     assert sorted(d["id"] for d in got) == [1, 1, 2, 3]
+
+
+def test_orders_and_lines_share_one_shuffle_of_documents(unhelped, sf_dir):
+    orders, lines = store.land_orders(landing.store_documents(Inputs(unhelped, sf_dir)))
+    both = orders.select("id", "status").unionByName(lines.select(F.col("order_id").alias("id"), F.col("sku").alias("status")))
+    unhelped.conf.set("spark.sql.adaptive.enabled", "false")
+    text = plan(both)
+    unhelped.conf.set("spark.sql.adaptive.enabled", "true")
+    # Two of lines, two of codes and orders, one of documents, and the last named again where it is used again.
+    assert text.count("ReusedExchange") == 1 and text.count("Exchange hashpartitioning") == 6
